@@ -6,9 +6,10 @@ from collections.abc import Callable
 from importlib.util import find_spec
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillframe.llm import sentencepiece_bpe
+from rillframe.llm import language_id, sentencepiece_bpe
 from rillframe.llm.common import table
 
 
@@ -19,12 +20,24 @@ def tokenizer_path(name: str) -> str:
     return str(folder / name)
 
 
+def fold(of: int) -> Column:
+    """The fold of a document: CRC-32 of its id as text, modulo the number of folds."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, fold(3) != 1)
+    got = language_id.predict(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_sentencepiece": op10_sentencepiece}
+    return {"op2_language_id": op2_language_id, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
