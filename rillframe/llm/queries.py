@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillframe.llm import language_id, sentencepiece_bpe
+from rillframe.llm import language_id, sentencepiece_bpe, toxicity
 from rillframe.llm.common import table
 
 
@@ -32,12 +32,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
+    got = toxicity.score(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op10_sentencepiece": op10_sentencepiece}
+    return {"op2_language_id": op2_language_id, "op6_toxicity": op6_toxicity, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
