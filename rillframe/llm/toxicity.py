@@ -114,19 +114,19 @@ def train(texts: list[bytes], labels: np.ndarray, dims: int = 8, rounds: int = 1
     """
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(0, np.float32), 0.0, float(labels[0]) if len(labels) else 0.0)
-    sizes, buckets, per_text = [], [], []
-    for text in texts:
-        g = grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        sizes.append(np.bincount(g.word, minlength=len(g.text)))
-        buckets.append(g.bucket[np.argsort(g.word, kind="stable")])
-        per_text.append(int((sizes[-1] > 0).sum()))
-    size, bucket, per_text = np.concatenate(sizes), np.concatenate(buckets).astype(np.int64), np.array(per_text)
-    size = size[size > 0]
+    number: dict[bytes, int] = {}
+    words = [[number.setdefault(w, len(number)) for w in text.split()] for text in texts]
+    g = grams(np.frombuffer(b"".join(number), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in number])]).astype(np.int64))
+    owner = g.text[g.word] if len(g.text) else g.word
+    order = np.argsort(owner, kind="stable")
+    bucket, owner = g.bucket[order].astype(np.int32), owner[order].astype(np.int32)
+    size = np.maximum(np.bincount(owner, minlength=len(number)), 1).astype(np.float32)
+    per_text = np.array([len(w) for w in words])
     used = per_text > 0
     y = labels[used].astype(np.float32)
+    word = np.array([i for w in words for i in w], dtype=np.int32)
     text_at = np.concatenate([[0], np.cumsum(per_text[used])])[:-1]
-    gram_at = np.concatenate([[0], np.cumsum(size)])[:-1]
-    which = np.repeat(np.arange(len(text_at)), per_text[used])
+    which = np.repeat(np.arange(len(text_at), dtype=np.int32), per_text[used])
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.05, (1 << BUCKET_BITS, dims)).astype(np.float32)
     w = rng.normal(0, 0.5, (2, dims)).astype(np.float32)
@@ -136,7 +136,7 @@ def train(texts: list[bytes], labels: np.ndarray, dims: int = 8, rounds: int = 1
     for step in range(1, rounds + 1):
         d = w[1] - w[0]
         u = e @ d
-        logit = np.add.reduceat(u[bucket], gram_at) / size
+        logit = (np.bincount(owner, weights=u[bucket], minlength=len(number)).astype(np.float32) / size)[word]
         top = np.maximum.reduceat(logit, text_at)
         if 3 * step <= 2 * rounds:
             a = np.exp(np.minimum(12.0 * step / rounds, 8.0) * (logit - top[which]))
@@ -145,12 +145,9 @@ def train(texts: list[bytes], labels: np.ndarray, dims: int = 8, rounds: int = 1
         a /= np.add.reduceat(a, text_at)[which]
         p = 1 / (1 + np.exp(-(np.add.reduceat(a * logit, text_at) + b[1] - b[0])))
         g = (p - y) / len(y)
-        # through each word's share to its n-grams
-        share = a * g[which] / size
-        live = np.flatnonzero(np.abs(share) > 1e-12)
-        n = size[live]
-        rows = bucket[np.repeat(gram_at[live] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        sums = np.bincount(rows, weights=np.repeat(share[live], n), minlength=len(e)).astype(np.float32)
+        # through the words' shares to their n-grams
+        share = np.bincount(word, weights=a * g[which], minlength=len(number)) / size
+        sums = np.bincount(bucket, weights=share[owner], minlength=len(e)).astype(np.float32)
         grad_d = sums @ e
         for k, grad in enumerate((np.outer(sums, d) + decay * e, np.stack([-grad_d, grad_d]) + decay * w, np.array([-g.sum(), g.sum()]))):
             m[k] += 0.1 * (grad - m[k])
