@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillframe.llm import fingerprints, html_extraction, language_id, sentencepiece_bpe, toxicity
+from rillframe.llm import fingerprints, html_extraction, language_id, pii, sentencepiece_bpe, toxicity
 from rillframe.llm.common import table
 
 
@@ -41,6 +41,14 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+#: The key of the registered query's surrogates; a deployment passes its own.
+SURROGATE_KEY = "rillframe"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(4) != 2)
@@ -53,7 +61,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_language_id": op2_language_id, "op4_html_extraction": op4_html_extraction, "op6_toxicity": op6_toxicity, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_fingerprints": op1_fingerprints, "op2_language_id": op2_language_id, "op4_html_extraction": op4_html_extraction, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
