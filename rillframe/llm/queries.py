@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillframe.llm import fingerprints, html_extraction, language_id, pii, sentencepiece_bpe, toxicity
+from rillframe.llm import fingerprints, html_extraction, language_id, mixing, pii, sentencepiece_bpe, toxicity
 from rillframe.llm.common import table
 
 
@@ -56,13 +56,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.weigh(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), mixing.topic_of(F.col("text")))
+    named = [F.coalesce(d, F.lit("")).alias(d) for d in ("source", "lang", "topic")]
+    return got.select("doc_id", *named, "n_tokens", F.round("weight", 6).alias("weight"), F.round("chance", 6).alias("chance"), "stays")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_language_id": op2_language_id, "op4_html_extraction": op4_html_extraction, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_fingerprints": op1_fingerprints, "op2_language_id": op2_language_id, "op4_html_extraction": op4_html_extraction, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op9_mixing": op9_mixing, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.oracle_sql()}
