@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillframe.llm import embedding_dedup, fingerprints, html_extraction, language_id, mixing, pii, sentencepiece_bpe, toxicity
+from rillframe.llm import embedding_dedup, fingerprints, html_extraction, jaccard_join, language_id, mixing, pii, sentencepiece_bpe, toxicity
 from rillframe.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = embedding_dedup.link(table(spark, sf_dir, "embeddings"))
     return got.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -72,7 +76,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_language_id": op2_language_id, "op4_html_extraction": op4_html_extraction, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op8_embedding_dedup": op8_embedding_dedup, "op9_mixing": op9_mixing, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_fingerprints": op1_fingerprints, "op2_language_id": op2_language_id, "op4_html_extraction": op4_html_extraction, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_jaccard_join": op7_jaccard_join, "op8_embedding_dedup": op8_embedding_dedup, "op9_mixing": op9_mixing, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
