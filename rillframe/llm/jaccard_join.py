@@ -5,9 +5,10 @@ hash. Two sets of Jaccard similarity t or more share a shingle among the first n
 of hashes is cut into fragments: each class has a segment per fragment, overlaps are counted fragment by fragment, and the counts are summed per pair.
 
 Groups of near copies may hold a large part of all documents, so that not all of their pairs can be listed. First each class is compared with one other
-for each of some minimum hashes, which joins such groups; from then on only pairs of classes that no links join yet are candidates. For a shingle that few classes share, all
-these pairs are compared; for the others, one hub a round (from the smallest joined part) is compared with all the rest, until none is left. No pair is left out unless links
-already join it, so that the groups are exact.
+for each of some minimum hashes, which joins such groups; from then on only pairs of classes that no links join yet are candidates. For a shingle that few
+classes share these pairs are listed. Classes that meet in shingles that many share form clusters; in a cluster, the classes outside its largest joined
+part are compared with all others, block by block, and only the links that join something leave a block. No pair is left out unless links already join it,
+so that the groups are exact.
 
 Null texts and texts without words have no shingles and link with nothing; with fewer words than a shingle has, the whole sequence is one. Ties and repeated rows share a class. A group is named by its smallest non-null id.
 """
@@ -34,7 +35,9 @@ FREQUENT = 50_000
 FREQUENT_OF_TASK = 4096
 MIN_HASHES = 4
 #: Classes that share a shingle, up to which all pairs of them are compared at once.
-FEW = 32
+FEW = 16
+#: Classes in a block of a cluster.
+BLOCK = 256
 #: Bits of the filter, of fixed size, that tells tasks which rows are needed; a false hit costs work only.
 FILTER_BITS = 1 << 26
 
@@ -216,6 +219,84 @@ def _room(n: str, place: str, m: str, other: str) -> Column:
     return (100 + PERCENT) * most >= PERCENT * (F.col(n) + F.col(m))
 
 
+def _clusters(shared: DataFrame, segments: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) that join parts of clusters. shared: (token, class, root) of tokens that many classes share.
+
+    A cluster holds the classes that such tokens join. Its classes outside the largest part meet all of them, in pairs of blocks.
+    """
+    hubs = written(shared.groupBy("token").agg(F.min("class").alias("v")), "hubs")
+    clusters = written(components(shared.join(hubs, "token").select(F.col("class").alias("u"), "v")).select(F.col("node").alias("class"), F.col("root").alias("cluster")), "clusters")
+    own = written(shared.select("class", "root").distinct().join(clusters, "class"), "cluster-members")
+    part = own.groupBy("cluster", "root").agg(F.count("*").alias("c"))
+    size = part.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("all"))
+    size = size.select("cluster", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / BLOCK).cast("int").alias("rests"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    placed = written(own.join(size, "cluster"), "cluster-blocks")
+    block = lambda n: F.pmod(F.xxhash64("class", F.lit(3)), F.col(n)).cast("int")
+    rest = placed.where("root <> main").select("class", "root", "cluster", block("rests").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
+    every = placed.where("rests > 0").select("class", "root", "cluster", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"))
+    sets = segments.groupBy("class").agg(F.collect_list(F.struct("fragment", "shingles")).alias("segments"))
+    met = rest.unionAll(every).join(sets, "class").select("cluster", "i", "j", "side", "class", "root", "segments")
+    order = ["cluster", "i", "j"]
+    return met.repartition(parts, *order).sortWithinPartitions(*order, "side", "class").mapInArrow(_blocks_met, "a long, b long")
+
+
+def _blocks_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the two sides of each pair of blocks, from rows sorted by cluster, i, j and side."""
+    held: list[dict] = []
+    at: tuple | None = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = (row["cluster"], row["i"], row["j"])
+            if key != at and held:
+                yield _joined(held)
+                held = []
+            at = key
+            held.append(row)
+    if held:
+        yield _joined(held)
+
+
+def _joined(rows: list[dict]) -> pa.RecordBatch:
+    """Of the linked pairs of two blocks, those that join parts that neither roots nor earlier pairs join."""
+    left, right = [r for r in rows if not r["side"]], [r for r in rows if r["side"]]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    n = [np.zeros(len(side), dtype=np.int64) for side in (left, right)]
+    for f in range(1 << FRAGMENT_BITS):
+        sets = [[np.frombuffer(next((s["shingles"] for s in r["segments"] if s["fragment"] == f), b""), np.uint64) for r in side] for side in (left, right)]
+        for k in (0, 1):
+            n[k] += [len(s) for s in sets[k]]
+        values = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in sets]
+        both = np.intersect1d(values[0], values[1])
+        for low in range(0, len(both), 8192):
+            some = both[low : low + 8192]
+            dense = []
+            for side, value in zip(sets, values, strict=True):
+                owner = np.repeat(np.arange(len(side)), [len(s) for s in side])
+                place = np.minimum(np.searchsorted(some, value), len(some) - 1)
+                hit = some[place] == value
+                m = np.zeros((len(side), len(some)), dtype=np.float32)
+                m[owner[hit], place[hit]] = 1
+                dense.append(m)
+            common += dense[0] @ dense[1].T
+    c = common.astype(np.int64)
+    a, b = np.nonzero((100 * c >= PERCENT * (n[0][:, None] + n[1][None, :] - c)) & (c > 0))
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = top(left[i]["root"]), top(right[j]["root"])
+        if x != y:
+            up[x] = y
+            out.append((left[i]["class"], right[j]["class"]))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its id, n_shingles and component_id."""
     spark = docs.sparkSession
@@ -242,28 +323,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     segments = rows.select("key", "text").mapInArrow(lambda b: _segments(b, needed.value), "class long, fragment int, shingles binary")
     segments = written(segments.groupBy("class", "fragment").agg(F.first("shingles").alias("shingles")), "segments")
     links = written(verified(first, segments, sizes), "links")
-    done, left = first, shared
-    while True:
-        roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "class"), "roots")
-        now = left.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        spread = now.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "size")
-        now = written(now.join(spread, "token"), "open")
-        few, many = now.where(F.col("size") <= FEW), now.where(F.col("size") > FEW)
-        other = few.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("root").alias("root_b"))
-        pairs = few.withColumnRenamed("class", "a").join(other, (few["token"] == other["token"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & _may_link("n", "m") & _room("n", "place", "m", "other")).select("a", "b")
-        # of what many classes share, one class of the smallest joined part meets all others
-        part = many.groupBy("token", "root").agg(F.count("*").alias("c"), F.min(F.struct("class", "n", "place")).alias("hub"))
-        hubs = written(part.groupBy("token").agg(F.min_by("hub", F.struct("c", "root")).alias("hub"), F.min(F.struct("c", "root")).alias("which")).select("token", F.col("hub.class").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.place").alias("other"), F.col("which.root").alias("root_b")), "hubs")
-        met = many.join(hubs, "token")
-        star = met.where((F.col("root") != F.col("root_b")) & _may_link("n", "m") & _room("n", "place", "m", "other")).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
-        pairs = pairs.unionAll(star).distinct()
-        pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        left = written(met.where("class <> hub").select("token", "class", "n", "place"), "left")
-        if not pairs.isEmpty():
-            links = links.unionAll(written(verified(pairs, segments, sizes), "links"))
-            done = done.unionAll(pairs)
-        if left.isEmpty():
-            break
+    roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "class"), "roots")
+    now = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    spread = now.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "size")
+    now = written(now.join(spread, "token"), "open")
+    few = now.where(F.col("size") <= FEW)
+    other = few.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("root").alias("root_b"))
+    apart = (few["token"] == other["token"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))
+    pairs = few.withColumnRenamed("class", "a").join(other, apart & _may_link("n", "m") & _room("n", "place", "m", "other")).select("a", "b").distinct()
+    pairs = written(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionAll(written(verified(pairs, segments, sizes), "links")).unionAll(written(_clusters(now.where(F.col("size") > FEW), segments, parts), "links"))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "class")
     named = classes.select("class", "least").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
