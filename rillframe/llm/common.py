@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,34 @@ def row_key(*cols: str | Column) -> Column:
     return F.xxhash64(*cols)
 
 
+#: Bits of the filters that tell tasks which rows are needed: of fixed size, whatever the number of keys. A false hit costs work only.
+FILTER_BITS = 1 << 26
+
+
+def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for each residue of the keys, gathered as bitmaps of 4 KB."""
+    # Spark numbers the bits of a bitmap from 1
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
+    rows = keys.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in rows:
+        at = (r["at"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out
+
+
+def in_filter(spark: SparkSession, bits: np.ndarray, column: str) -> Column:
+    """Whether a filter knows a column's keys, or seems to. Only the keys go to Python."""
+    sent = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def known(keys: pd.Series) -> pd.Series:
+        key = np.mod(keys.to_numpy(), FILTER_BITS)
+        return pd.Series((sent.value[key >> 3] >> (key & 7).astype(np.uint8) & 1).astype(bool))
+
+    return known(F.col(column))
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets from 0) for runs of rows of about `most` bytes; null counts as empty."""
     texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()), b"")

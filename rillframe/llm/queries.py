@@ -9,8 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillframe.llm import embedding_dedup, fingerprints, html_extraction, jaccard_join, language_id, mixing, pii, sentencepiece_bpe, toxicity
-from rillframe.llm.common import table
+from rillframe.llm import embedding_dedup, fingerprints, html_extraction, jaccard_join, language_id, mixing, pii, sentencepiece_bpe, substring_dedup, toxicity
+from rillframe.llm.common import table, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +36,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return got.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -66,7 +70,8 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mixing.weigh(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), mixing.topic_of(F.col("text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    got = mixing.weigh(written(mixing.counted(docs, mixing.topic_of(F.col("text"))).drop("text"), "counted"))
     named = [F.coalesce(d, F.lit("")).alias(d) for d in ("source", "lang", "topic")]
     return got.select("doc_id", *named, "n_tokens", F.round("weight", 6).alias("weight"), F.round("chance", 6).alias("chance"), "stays")
 
@@ -76,7 +81,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_language_id": op2_language_id, "op4_html_extraction": op4_html_extraction, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_jaccard_join": op7_jaccard_join, "op8_embedding_dedup": op8_embedding_dedup, "op9_mixing": op9_mixing, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_fingerprints": op1_fingerprints, "op2_language_id": op2_language_id, "op3_substring_dedup": op3_substring_dedup, "op4_html_extraction": op4_html_extraction, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_jaccard_join": op7_jaccard_join, "op8_embedding_dedup": op8_embedding_dedup, "op9_mixing": op9_mixing, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,6 +49,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.n
     return mixed(np.add.reduceat(value, begin) + size.astype(np.uint64)), starts, seen[offsets]
 
 
+def powers_and_inverses(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and what undoes them."""
+    return _powers(_RUN, n), _powers(np.uint64(pow(int(_RUN), -1, 1 << 64)), n)
+
+
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every k words on end; the caller leaves out those that span texts."""
     n = len(words) - k + 1
@@ -61,8 +66,7 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
             out += words[j : j + n]
         return mixed(out)
     # sums of words times powers, divided by the power at the start (its inverse modulo 2**64)
-    powers = _powers(_RUN, len(words))
-    inverse = _powers(np.uint64(pow(int(_RUN), -1, 1 << 64)), len(words))
+    powers, inverse = powers_and_inverses(len(words))
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * powers, out=sums[1:])
     return mixed((sums[k:] - sums[:-k]) * inverse[:n])
