@@ -19,6 +19,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -197,14 +198,14 @@ class PieceModel:
             return [self.end]
         return [i for c in CHUNK.findall(MARK + text.replace(" ", MARK)) for i in self.ids(c)] + [self.end]
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the decimal ids and of the decoded text."""
+    def digest(self, text: str) -> tuple[int, str, str, str]:
+        """Number of ids, SHA-256 of the decimal ids and of the decoded text, and the decimal ids."""
         if not text:
-            return 1, _sha(str(self.end)), _sha("")
+            return 1, _sha(str(self.end)), _sha(""), str(self.end)
         known, slow = self.known, self.chunk
         got = [known.get(c) or slow(c) for c in CHUNK.findall(MARK + text.replace(" ", MARK))]
         ids = " ".join([g[0] for g in got]) + f" {self.end}"
-        return sum([g[1] for g in got]) + 1, _sha(ids), _sha("".join([g[2] for g in got])[1:])
+        return sum([g[1] for g in got]) + 1, _sha(ids), _sha("".join([g[2] for g in got])[1:]), ids
 
 
 #: Word marks and the characters up to the next mark.
@@ -264,10 +265,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         model = _model(blob.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = list(zip(*map(model.digest, texts), strict=True)) or [(), (), ()]
+            rows = list(zip(*map(model.digest, texts), strict=True)) or [(), (), (), ()]
             cols = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
             if ids:
-                cols.append(pa.array([model.encode(t) for t in texts], pa.list_(pa.int32())))
+                cols.append(pa.array([np.fromstring(r, dtype=np.int32, sep=" ") for r in rows[3]], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
