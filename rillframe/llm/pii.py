@@ -27,24 +27,26 @@ GIVEN = {
     ("m", "cyrillic"): "Иван Дмитрий Сергей Андрей Алексей Николай Владимир Михаил".split(),
 }
 HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra Don Doña Г-н Г-жа".split()
-# Patterns of entities, tried in this order at each place.
+# Patterns of entities, tried in this order at the start of each word or number.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "secret": r"(?<=\b(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_\-+/]{8,}",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "person": rf"\b(?:(?:{'|'.join(HONORIFICS)})\b\.?[ ](?:(?:{_GIVEN})[ ])?\p{{Lu}}\p{{Ll}}+|(?:{_GIVEN})[ ]\p{{Lu}}\p{{Ll}}+)\b",
+    "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "card": r"(?:\d{4}[ -]?){3}\d{4}(?![\w-])",
+    "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
+    "secret": r"(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9_+/-]{8,}",
+    "key": r"(?:AKIA|ASIA)[0-9A-Z]{16}\b",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "person": rf"(?=[A-ZА-Я])(?:(?:{'|'.join(HONORIFICS)})\b\.?[ ](?:(?:{_GIVEN})[ ])?\p{{Lu}}\p{{Ll}}++|(?:{_GIVEN})[ ]\p{{Lu}}\p{{Ll}}++)",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_FIGURES = "|".join(PATTERNS[k] for k in ("ip", "card", "ssn", "phone"))
+_LETTERS = "|".join(PATTERNS[k] for k in ("secret", "key", "iban", "person", "email"))
+ENTITY = rf"(?<![A-Za-z0-9_À-ӿ])(?:(?=[0-9+(])(?:{_FIGURES})|{_LETTERS})"
 # Characters that may stand for each other.
 KINDS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоу", "бвгджзклмнпрст", "АЕИОУ", "БВГДЖЗКЛМНПРСТ")
-KIND = [("0-9", 0), ("aeiouàáâäèéêëìíîïòóôöùúûü", 1), ("a-zçñß", 2), ("AEIOUÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", 3), ("A-ZÇÑ", 4), ("аеёиоуыэюя", 5), ("а-я", 6), ("АЕЁИОУЫЭЮЯ", 7), ("А-Я", 8)]
+MEMBERS = ("0123456789", "aeiouàáâäèéêëìíîïòóôöùúûü", "bcdfghjklmnpqrstvwxyzçñß", "AEIOUÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "BCDFGHJKLMNPQRSTVWXYZÇÑ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ")
 #: After so many draws a surname may also grow, as a short one may have no other form left.
 GROWS_AFTER = 6
 
@@ -52,24 +54,31 @@ GROWS_AFTER = 6
 def kind_of(value: Column) -> Column:
     """Type of a found entity."""
     out = F.lit("person")
-    for name in ("iban", "card", "ssn", "phone", "ip"):
+    for name in reversed([k for k in PATTERNS if k != "person"]):
         out = F.when(value.rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(out)
-    out = F.when(value.rlike("^" + PATTERNS["key"] + "$"), "key").otherwise(out)
-    out = F.when(value.rlike("^[A-Za-z0-9_+/-]+$") & (out == "person"), "secret").otherwise(out)
-    return F.when(value.contains("@"), "email").otherwise(out)
+    return out
+
+
+def _luhn_sum(digits: Column) -> Column:
+    """Sum of the digits of a card number, with every second one from the right doubled."""
+    part = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
+    return F.aggregate(part, F.lit(0), lambda a, x: a + x)
 
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the check of card numbers."""
-    chars = F.split(F.reverse(digits), "")
-    part = F.transform(chars, lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
-    return F.aggregate(part, F.lit(0), lambda a, x: a + x) % 10 == 0
+    return _luhn_sum(digits) % 10 == 0
+
+
+def _secret(value: Column) -> Column:
+    """What a secret's name introduces."""
+    return F.regexp_extract(value, "[A-Za-z0-9_+/-]+$", 0)
 
 
 def same_entity(kind: Column, value: Column) -> Column:
     """What all spellings of an entity have in common."""
     plain = F.regexp_replace(value, r"[^0-9A-Za-z]", "")
-    return F.when(kind == "email", F.lower(value)).when(kind == "person", F.lower(F.substring_index(value, " ", -1))).when(kind.isin("phone", "card", "ssn", "iban"), plain).otherwise(value)
+    return F.when(kind == "email", F.lower(value)).when(kind == "person", F.lower(F.substring_index(value, " ", -1))).when(kind.isin("phone", "card", "ssn", "iban"), plain).when(kind == "secret", _secret(value)).otherwise(value)
 
 
 def _byte(seed: Column, i: Column) -> Column:
@@ -82,16 +91,13 @@ def _characters(value: Column, seed: Column, hexes: Column) -> Column:
     """value with each letter and digit drawn anew; what stands at the same place among letters and digits gets the same draw."""
     chars = F.filter(F.split(value, ""), lambda c: c != "")
 
+    kinds = F.create_map(*[F.lit(x) for k, members in enumerate(MEMBERS) for c in members for x in (c, k)])
+
     def drawn(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substr(value, F.lit(1), i.cast("int")), r"[^\p{L}\p{N}]", ""))
-        at = _byte(seed, before)
-        out = c
-        for members, k in reversed(KIND):
-            alphabet = F.lit(KINDS[k])
-            if k in (1, 2):
-                alphabet = F.when(hexes & c.rlike("[a-f]"), F.lit("abcdef")).otherwise(alphabet)
-            out = F.when(c.rlike(f"^[{members}]$"), F.substr(alphabet, (at % F.length(alphabet) + 1).cast("int"), F.lit(1))).otherwise(out)
-        return out
+        kind = F.element_at(kinds, c)
+        alphabet = F.when(hexes & kind.isin(1, 2), "abcdef").otherwise(F.element_at(F.array(*map(F.lit, KINDS)), kind + 1))
+        return F.coalesce(F.substr(alphabet, (_byte(seed, before) % F.length(alphabet) + 1).cast("int"), F.lit(1)), c)
 
     return F.array_join(F.transform(chars, drawn), "")
 
@@ -108,23 +114,32 @@ def _given(name: Column, key: str) -> Column:
 
 def surrogate(kind: Column, value: Column, seed: Column, grows: Column, key: str) -> Column:
     """The surrogate of an entity as it is written in a text."""
-    drawn = _characters(value, seed, (kind == "secret") & value.rlike("^[0-9a-f]+$"))
-    number = F.regexp_replace(drawn, "[^0-9]", "")
-    # the last digit makes a card number valid: of the ten, one passes
-    card_number = F.concat(F.substring(value, 1, 1), F.substr(number, F.lit(2), F.length(number) - 2))
-    last = F.element_at(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: luhn(F.concat(card_number, d))), 1)
-    card = F.concat(F.substring(value, 1, 1), F.substr(drawn, F.lit(2), F.length(drawn) - 2), last)
-    ip = F.concat_ws(".", *[(_byte(seed, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
+    none = F.lit(False)
     words = F.split(value, " ")
     more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(grows, F.lit(1))), lambda i: F.substr(F.lit("aeiou"), (_byte(seed, i + 40) % 5 + 1).cast("int"), F.lit(1))), "")
-    surname = F.concat(_characters(F.element_at(words, -1), seed, F.lit(False)), F.when(grows > 0, more).otherwise(""))
-    person = F.array_join(F.transform(words, lambda w, i: F.when(i == F.size(words) - 1, surname).otherwise(_given(w, key))), " ")
-    key_kept = F.concat(F.substring(value, 1, 4), F.substr(drawn, F.lit(5), F.length(drawn)))
-    phone = F.when(value.startswith("+"), F.concat(F.regexp_extract(value, r"^\+\d{1,3}(?=\D)|^\+\d", 0), F.substr(drawn, F.length(F.regexp_extract(value, r"^\+\d{1,3}(?=\D)|^\+\d", 0)) + 1, F.length(drawn)))).otherwise(drawn)
-    top = F.concat(F.lit("."), F.substring_index(value, ".", -1))
-    email = F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - F.length(top)), top)
-    card = F.when(luhn(F.regexp_replace(value, "[^0-9]", "")), card).otherwise(drawn)
-    return F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "person", person).when(kind.isin("key", "iban"), key_kept).when(kind == "phone", phone).when(kind == "email", email).otherwise(drawn)
+    # what a type keeps of the start and the end
+    head = (
+        F.when(kind == "secret", F.length(value) - F.length(_secret(value)))
+        .when(kind.isin("key", "iban"), 4)
+        .when(kind == "card", 1)
+        .when(kind == "phone", F.length(F.regexp_extract(value, r"^(?:\+\d{1,3}(?=\D)|\+\d)", 0)))
+        .when(kind == "person", F.length(value) - F.length(F.element_at(words, -1)))
+        .otherwise(0)
+    )
+    tail = F.when(kind == "email", F.length(F.substring_index(value, ".", -1)) + 1).otherwise(0)
+    body = F.substr(value, head + 1, F.length(value) - head - tail)
+    drawn = _characters(body, seed, F.when(kind == "secret", body.rlike("^[0-9a-f]+$")).otherwise(none))
+    out = F.concat(F.substr(value, F.lit(1), head), drawn, F.substr(value, F.length(value) - tail + 1, tail))
+    digits = F.regexp_replace(F.concat(F.substr(value, F.lit(1), head), drawn), "[^0-9]", "")
+    last = (10 - _luhn_sum(F.concat(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("0"))) % 10) % 10
+    valid = luhn(F.regexp_replace(value, "[^0-9]", ""))
+    names = F.array_join(F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: _given(w, key)), " ")
+    return (
+        F.when(kind == "ip", F.concat_ws(".", *[(_byte(seed, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]))
+        .when((kind == "card") & valid, F.concat(F.substr(out, F.lit(1), F.length(out) - 1), last.cast("string")))
+        .when(kind == "person", F.concat(names, F.when(F.size(words) > 1, " ").otherwise(""), drawn, F.when(grows > 0, more).otherwise("")))
+        .otherwise(out)
+    )
 
 
 def found(text: Column) -> Column:
