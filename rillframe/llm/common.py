@@ -17,6 +17,19 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Rows that a task hands to Python at a time, and the size of a row group that it writes: both bound an executor's memory.
+BATCH_ROWS = 1000
+ROW_GROUP = 16 << 20
+
+
+def frugal(spark: SparkSession) -> SparkSession:
+    """Makes Arrow batches small for this session, unless they are smaller still."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +46,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Writes df once to the shared folder and returns it read again: later plans start from files that survive a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillframe.llm import words as W
-from rillframe.llm.common import bit_filter, dropped, in_filter, mixed, row_key, slices, written
+from rillframe.llm.common import bit_filter, dropped, frugal, in_filter, mixed, row_key, slices, written
 
 WINDOW = 50
 ANCHOR = 8
@@ -195,6 +195,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The table is taken in batches of ascending ids, as it would arrive over time. A text moves once if it may lose words, and once if it has contested entries.
     """
+    frugal(docs.sparkSession)
     rows = docs.select(row_key(F.col(id_col).cast("long"), text_col).alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     marks = sorted(set(rows.select("doc").approxQuantile("doc", [i / batches for i in range(1, batches)], 0.02))) if batches > 1 else []
     number = sum([(F.col("doc") >= m).cast("int") for m in marks], F.lit(0))
