@@ -1,7 +1,7 @@
 """Links between documents whose word shingles are alike, and the groups that they form.
 
-Documents with equal shingle sets are one class. Shingles have one global order: those that many documents share come last, by count, all others stand by
-hash. Two sets of Jaccard similarity t or more share a shingle among the first n - ceil(t n) + 1 of either; that gives the candidates. To verify them, the order
+Documents with equal shingle sets are one class. Shingles have one global order: those that many documents share come last, by the logarithm of their count,
+all others stand by hash. The counts are kept per bucket of hashes, in a table of fixed size, so that a shingle's count is its bucket's. Two sets of Jaccard similarity t or more share a shingle among the first n - ceil(t n) + 1 of either; that gives the candidates. To verify them, the order
 of hashes is cut into fragments: each class has a segment per fragment, overlaps are counted fragment by fragment, and the counts are summed per pair.
 
 Groups of near copies may hold a large part of all documents, so that not all of their pairs can be listed. First each class is compared with one other
@@ -23,23 +23,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillframe.llm import words as W
-from rillframe.llm.common import mixed, row_key, slices, written
+from rillframe.llm.common import bit_filter, frugal, in_filter, mixed, row_key, slices, written
 from rillframe.llm.components import components
 
 SHINGLE = 5
 PERCENT = 75
 #: Fragments of the order of hashes.
 FRAGMENT_BITS = 3
-#: Frequent shingles that the global order knows by count, and those that a task may name. Any order gives the same links.
-FREQUENT = 50_000
-FREQUENT_OF_TASK = 4096
+#: Buckets of hashes whose shingles are counted together, and those in a row. Any order gives the same links.
+COUNTED_BITS = 22
+CHUNK_BITS = 14
 MIN_HASHES = 4
 #: Classes that share a shingle, up to which all pairs of them are compared at once.
-FEW = 16
+FEW = 256
 #: Classes in a block of a cluster.
 BLOCK = 256
-#: Bits of the filter, of fixed size, that tells tasks which rows are needed; a false hit costs work only.
-FILTER_BITS = 1 << 26
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -70,55 +68,72 @@ def _sets(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[n
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (key, id, n, class, minimum hashes) and, with a null key, frequent shingles (their count in n, their hash in class)."""
-    names = ["key", "id", "n", "class", "mins"]
+    """Rows of documents (key, id, n, class, minimum hashes) and, with a null key, a task's counts of shingles (the chunk in id)."""
+    names = ["key", "id", "n", "class", "mins", "counts"]
     salts = mixed(np.arange(1, MIN_HASHES + 1, dtype=np.uint64))
-    known: dict[int, int] = {}
+    counts = np.zeros(1 << COUNTED_BITS, dtype=np.int64)
+    waiting: list[np.ndarray] = []
     for batch in batches:
         for first, end, sets in _sets(batch, "text"):
             classes = _class_of(sets)
             mins = [[int(mixed(s ^ x).min()) - (1 << 63) for x in salts] if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes), pa.array(mins, pa.list_(pa.int64()))], names=names)
-            distinct = np.unique(classes, return_index=True)[1]
-            every = np.sort(np.concatenate([sets[i] for i in distinct]))
-            edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, int)
-            count = np.diff(np.append(edge, len(every)))
-            for i in np.flatnonzero(count > 2):
-                h = int(every[edge[i]])
-                known[h] = known.get(h, 0) + int(count[i])
-            if len(known) > 64 * FREQUENT_OF_TASK:
-                known = dict(sorted(known.items(), key=lambda x: -x[1])[: 16 * FREQUENT_OF_TASK])
-    top = sorted(known.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT_OF_TASK]
-    if top:
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(top), pa.int64()), pa.nulls(len(top), pa.int64()), pa.array([c for _, c in top], pa.int64()), pa.array([h for h, _ in top], pa.int64()), pa.nulls(len(top), pa.list_(pa.int64()))], names=names)
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (token, class, n, place): the first shingles of each set in the global order."""
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes), pa.array(mins, pa.list_(pa.int64())), pa.nulls(len(sets), pa.binary())], names=names)
+            waiting += [_bucket(sets[i]) for i in np.unique(classes, return_index=True)[1]]
+            if sum(map(len, waiting)) > len(counts):
+                counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
+                waiting = []
+    if waiting:
+        counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
+    chunks = counts.reshape(-1, 1 << CHUNK_BITS)
+    some = np.flatnonzero(chunks.any(axis=1))
+    if len(some):
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(some), none, none, pa.nulls(len(some), pa.list_(pa.int64())), pa.array([np.minimum(chunks[i], 65535).astype(np.uint16).tobytes() for i in some], pa.binary())], names=names)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << COUNTED_BITS) - 1)).astype(np.int32)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of each chunk, from rows sorted by chunk."""
+    at, total = None, np.zeros(1 << CHUNK_BITS, dtype=np.int64)
+    for batch in batches:
+        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if chunk != at and at is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
+                total = np.zeros(1 << CHUNK_BITS, dtype=np.int64)
+            at = chunk
+            total += np.frombuffer(counts, dtype=np.uint16)
+    if at is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """For each bucket 0, or if it holds far more than chance gives the eighths of powers of two of its count, below 256."""
+    usual = counts.mean()
+    frequent = counts > usual + 5 * np.sqrt(usual + 1) + 5
+    return np.where(frequent, 1 + np.minimum(8 * np.log2(np.maximum(counts, 1)), 254), 0).astype(np.uint8)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], level: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (token, class, n): the first shingles of each set in the global order."""
     for batch in batches:
         for _, _, sets in _sets(batch, "text"):
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], []]
             classes = _class_of(sets)
             for i in np.unique(classes, return_index=True)[1]:
-                s = sets[i]
-                n = len(s)
+                n = len(sets[i])
                 if not n:
                     continue
-                key = s
-                if len(frequent):
-                    at = np.searchsorted(frequent, s)
-                    hit = frequent[np.minimum(at, len(frequent) - 1)] == s
-                    if hit.any():
-                        key = s.copy()
-                        key[hit] = np.uint64(1 << 63) + rank[at[hit]]
-                        key.sort()
-                key = key[: n - -(-n * PERCENT // 100) + 1]
+                # a token keeps 55 bits of its hash: two that coincide make candidates, not links
+                key = level[_bucket(sets[i])].astype(np.uint64) << np.uint64(55) | sets[i] >> np.uint64(8)
+                key = np.sort(key)[: n - -(-n * PERCENT // 100) + 1]
                 cols[0].append(key)
                 cols[1].append(np.full(len(key), classes[i]))
                 cols[2].append(np.full(len(key), n, dtype=np.int32))
-                cols[3].append(np.arange(len(key), dtype=np.int32))
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0]).astype(np.int64)), *(pa.array(np.concatenate(c)) for c in cols[1:])], names=["token", "class", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0]).astype(np.int64)), *(pa.array(np.concatenate(c)) for c in cols[1:])], names=["token", "class", "n"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,27 +169,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = batch.slice(batch.num_rows - 1)
 
 
-def _filter_of(keys: DataFrame, column: str) -> np.ndarray:
-    """A bit for each residue of the keys: FILTER_BITS bits, whatever their number."""
-    # Spark numbers the bits of a bitmap from 1
-    bit = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
-    rows = keys.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in rows:
-        at = (r["at"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    return out
-
-
-def _segments(batches: Iterator[pa.RecordBatch], needed: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (class, fragment, shingles as bytes) of the texts whose key the filter knows."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (class, fragment, shingles as bytes) of texts."""
     for batch in batches:
-        key = np.mod(batch.column(0).to_numpy(), FILTER_BITS)
-        known = (needed[key >> 3] >> (key & 7).astype(np.uint8)) & 1
-        if not known.any():
-            continue
-        part = batch.take(pa.array(np.flatnonzero(known)))
-        for _, _, sets in _sets(part, "text"):
+        for _, _, sets in _sets(batch, "text"):
             out: list[list] = [[], [], []]
             for s, c in zip(sets, _class_of(sets), strict=True):
                 cuts = np.searchsorted(s, np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(63 - FRAGMENT_BITS))
@@ -187,23 +185,23 @@ def _segments(batches: Iterator[pa.RecordBatch], needed: np.ndarray) -> Iterator
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, partial overlap)."""
+    """Rows (a, b, fragment, partial overlap)."""
     for batch in batches:
-        left, right = batch.column(2), batch.column(3)
+        left, right = batch.column(3), batch.column(4)
         n = np.zeros(batch.num_rows, dtype=np.int64)
         for i in range(batch.num_rows):
             both = np.concatenate([np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)])
             both.sort()
             n[i] = np.count_nonzero(both[1:] == both[:-1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], names=["a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n)], names=["a", "b", "fragment", "n"])
 
 
 def verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame) -> DataFrame:
     """Of pairs (a, b) of classes those that link: partial overlaps per fragment, summed per pair."""
     one = pairs.join(segments.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("left")), "a")
     two = one.join(segments.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("right")), ["b", "fragment"])
-    partial = two.select("a", "b", "left", "right").mapInArrow(_overlaps, "a long, b long, n long")
-    whole = partial.groupBy("a", "b").agg(F.sum("n").alias("common"))
+    partial = two.select("a", "b", "fragment", "left", "right").mapInArrow(_overlaps, "a long, b long, fragment int, n long")
+    whole = partial.groupBy("a", "b", "fragment").agg(F.max("n").alias("n")).groupBy("a", "b").agg(F.sum("n").alias("common"))
     na, nb = sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), sizes.select(F.col("class").alias("b"), F.col("n").alias("nb"))
     return whole.join(na, "a").join(nb, "b").where(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
@@ -213,12 +211,6 @@ def _may_link(n: str, m: str) -> Column:
     return (100 * F.col(n) >= PERCENT * F.col(m)) & (100 * F.col(m) >= PERCENT * F.col(n))
 
 
-def _room(n: str, place: str, m: str, other: str) -> Column:
-    """Whether sets that share a shingle at these places of the order, and none before it, can still share enough."""
-    most = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other))
-    return (100 + PERCENT) * most >= PERCENT * (F.col(n) + F.col(m))
-
-
 def _clusters(shared: DataFrame, segments: DataFrame, parts: int) -> DataFrame:
     """Links (a, b) that join parts of clusters. shared: (token, class, root) of tokens that many classes share.
 
@@ -234,7 +226,7 @@ def _clusters(shared: DataFrame, segments: DataFrame, parts: int) -> DataFrame:
     block = lambda n: F.pmod(F.xxhash64("class", F.lit(3)), F.col(n)).cast("int")
     rest = placed.where("root <> main").select("class", "root", "cluster", block("rests").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
     every = placed.where("rests > 0").select("class", "root", "cluster", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"))
-    sets = segments.groupBy("class").agg(F.collect_list(F.struct("fragment", "shingles")).alias("segments"))
+    sets = segments.groupBy("class").agg(F.collect_set(F.struct("fragment", "shingles")).alias("segments"))
     met = rest.unionAll(every).join(sets, "class").select("cluster", "i", "j", "side", "class", "root", "segments")
     order = ["cluster", "i", "j"]
     return met.repartition(parts, *order).sortWithinPartitions(*order, "side", "class").mapInArrow(_blocks_met, "a long, b long")
@@ -297,42 +289,61 @@ def _joined(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
+def _beyond(n: str) -> Column:
+    """Shingles of a set of n that its prefix doesn't hold."""
+    return F.ceil(F.col(n) * PERCENT / 100) - 1
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class")))
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its id, n_shingles and component_id."""
-    spark = docs.sparkSession
+    spark = frugal(docs.sparkSession)
     rows = docs.select(row_key(F.col(id_col).cast("long"), text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    summary = written(rows.mapInArrow(_summary, "key long, id long, n long, class long, mins array<long>"), "sets")
+    summary = written(rows.mapInArrow(_summary, "key long, id long, n long, class long, mins array<long>, counts binary"), "sets")
     members = summary.where("key is not null")
     classes = written(members.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("mins").alias("mins")), "set-classes")
     sizes = classes.select("class", "n")
     # the global order
-    top = summary.where("key is null").groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").limit(FREQUENT).collect()
-    frequent = np.array([r["class"] for r in top], dtype=np.uint64)
-    ranks = np.arange(len(top), 0, -1, dtype=np.uint64)  # the most frequent last
-    order = np.argsort(frequent)
-    sent = spark.sparkContext.broadcast((frequent[order], ranks[order]))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prefixes = rows.select("text").mapInArrow(lambda b: _prefixes(b, *sent.value), "token long, class long, n int, place int")
-    shared = written(prefixes.repartition(parts, "token").sortWithinPartitions("token", "class").mapInArrow(_shared, "token long, class long, n int, place int"), "shared")
+    counts = np.zeros((1 << COUNTED_BITS - CHUNK_BITS, 1 << CHUNK_BITS), dtype=np.int64)
+    chunks = summary.where("key is null and counts is not null").select(F.col("id").alias("chunk"), "counts")
+    for r in chunks.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk long, counts binary").collect():
+        counts[r["chunk"]] = np.frombuffer(bytes(r["counts"]), dtype=np.int64)
+    sent = spark.sparkContext.broadcast(levels(counts.ravel()))
+    prefixes = rows.select("text").mapInArrow(lambda b: _prefixes(b, sent.value), "token long, class long, n int")
+    shared = written(prefixes.repartition(parts, "token").sortWithinPartitions("token", "class").mapInArrow(_shared, "token long, class long, n int"), "shared")
     # one partner for each minimum hash
     mins = classes.select("class", "n", F.posexplode("mins").alias("i", "low"))
     hub = mins.groupBy("i", "low").agg(F.min(F.struct("class", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("i", "low", F.col("hub.class").alias("a"), F.col("hub.n").alias("na"))
     first = written(mins.join(hub, ["i", "low"]).where(F.col("class") != F.col("a")).where(_may_link("n", "na")).select("a", F.col("class").alias("b")).distinct(), "first-pairs")
-    involved = first.select(F.col("a").alias("class")).unionAll(first.select(F.col("b").alias("class"))).unionAll(shared.select("class")).distinct()
-    needed = spark.sparkContext.broadcast(_filter_of(involved.join(classes, "class").select("key"), "key"))
-    segments = rows.select("key", "text").mapInArrow(lambda b: _segments(b, needed.value), "class long, fragment int, shingles binary")
-    segments = written(segments.groupBy("class", "fragment").agg(F.first("shingles").alias("shingles")), "segments")
-    links = written(verified(first, segments, sizes), "links")
+
+    def segments_of(needed: DataFrame) -> DataFrame:
+        """Segments of the classes named, from one text of each. A text that the filter lets through by chance gives a class's segments again."""
+        keys = needed.select("class").distinct().join(classes.select("class", "key"), "class")
+        return written(rows.where(in_filter(spark, bit_filter(keys, "key"), "key")).select("text").mapInArrow(_segments, "class long, fragment int, shingles binary"), "segments")
+
+    links = written(verified(first, segments_of(_ends(first)), sizes), "links")
     roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "class"), "roots")
     now = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     spread = now.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "size")
     now = written(now.join(spread, "token"), "open")
     few = now.where(F.col("size") <= FEW)
-    other = few.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("root").alias("root_b"))
+    other = few.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
     apart = (few["token"] == other["token"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))
-    pairs = few.withColumnRenamed("class", "a").join(other, apart & _may_link("n", "m") & _room("n", "place", "m", "other")).select("a", "b").distinct()
+    met = few.withColumnRenamed("class", "a").join(other, apart & _may_link("n", "m"))
+    met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    # what the first shingles have in common, counted, leaves too little for most pairs: beyond them one of the two has n - prefix(n) shingles
+    unlisted = now.where(F.col("size") > FEW).groupBy("class").agg(F.count("*").alias("u"))
+    met = met.join(unlisted.withColumnsRenamed({"class": "a", "u": "ua"}), "a", "left").join(unlisted.withColumnsRenamed({"class": "b", "u": "ub"}), "b", "left")
+    most = F.col("c") + F.least(F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0))) + F.greatest(_beyond("n"), _beyond("m"))
+    pairs = met.where((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))).select("a", "b")
     pairs = written(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionAll(written(verified(pairs, segments, sizes), "links")).unionAll(written(_clusters(now.where(F.col("size") > FEW), segments, parts), "links"))
+    many = now.where(F.col("size") > FEW)
+    segments = segments_of(_ends(pairs).unionAll(many.select("class")))
+    links = links.unionAll(written(verified(pairs, segments, sizes), "links")).unionAll(written(_clusters(many, segments, parts), "links"))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "class")
     named = classes.select("class", "least").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
