@@ -175,9 +175,9 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     Each text moves at most once, to meet its own entities' seeds; an entity that a third of the texts holds meets its seed in a join that Spark
     can split.
     """
-    docs = docs.drop("n_entities", "_row", "_found")
+    docs = docs.drop("n_entities")
     plain = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
-    rows = docs.withColumn("_row", row_key(*plain)).withColumn("_found", found(F.col(text_col)))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), row_key(*plain).alias("_row"), found(F.col(text_col)).alias("_found"))
     one = rows.where(F.size("_found") > 0).select("_row", F.explode(F.array_distinct("_found")).alias("value")).withColumn("kind", kind_of(F.col("value")))
     one = one.withColumn("entity", same_entity(F.col("kind"), F.col("value")))
     one = written(one.distinct(), "pii-found")
@@ -185,9 +185,9 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     drawn = one.join(known, ["kind", "entity"]).withColumn("new", surrogate(F.col("kind"), F.col("value"), F.col("seed"), F.col("grows"), key))
     own = drawn.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("_new"))
     joined = rows.join(own, "_row", "left")
-    pieces = F.split(F.col(text_col), ENTITY, -1)
+    was = F.col("doc")[text_col]
     news = F.transform("_found", lambda v: F.coalesce(F.element_at("_new", v), v))
-    text = F.array_join(F.flatten(F.zip_with(pieces, F.concat(news, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
-    n = F.when(F.col("_new").isNull(), 0).otherwise(F.size(F.filter("_found", lambda v: F.map_contains_key("_new", v))))
-    return joined.select(*[F.when(F.col("_new").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns], n.cast("long").alias("n_entities"))
-
+    text = F.array_join(F.flatten(F.zip_with(F.split(was, ENTITY, -1), F.concat(news, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
+    n = F.when(F.col("_new").isNull(), 0).otherwise(F.size("_found"))
+    own = {c: F.col("doc")[c] for c in docs.columns} | {text_col: F.when(F.col("_new").isNull(), was).otherwise(text)}
+    return joined.select(*[v.alias(c) for c, v in own.items()], n.cast("long").alias("n_entities"))
