@@ -159,8 +159,48 @@ class Stall:
         return out
 
 
-def replay(items: DataFrame, model: Callable[[], Any], ts: str = "pts_us", arrival: str = "arrival_us", key: str = "stream_id") -> DataFrame:
-    """Rows (key, the model's fields) from each stream's items in order of seq. One stream is one group."""
+class SentinelGroup:
+    """Continuous output times of several streams that share a shift: the stream that meets a jump first sets it, the others take it over when they jump too.
+
+    A step back joins on. A step ahead is filled with at most five backup frames, but for every second one of a stream.
+    """
+
+    fields = "seq long, out_us long, fills long, shift_us long"
+
+    def __init__(self, duration_us: int, tolerance_us: int = 1000, start_us: int = 10_000_000, lock: bool = False):
+        self.d, self.tolerance, self.lock = duration_us, tolerance_us, lock
+        self.clock, self.shift = start_us, None
+        self.streams: dict[str, list] = {}
+
+    def push(self, seq: int, ts: int | None, arrival: int | None = None, stream: str = "") -> list[Row]:
+        if ts is None:
+            return []
+        if self.shift is None:
+            self.shift = self.clock - ts
+        own = self.streams.setdefault(stream, [self.shift, None, False])  # shift, next time, whether the last step ahead was filled
+        out, fills = ts + own[0], 0
+        if own[1] is not None and abs(out - own[1]) >= self.tolerance:
+            if own[0] != self.shift and abs(ts + self.shift - own[1]) < abs(out - own[1]):
+                own[0] = self.shift
+                out = ts + self.shift
+            if abs(out - own[1]) >= self.tolerance:
+                if out > own[1]:
+                    own[2] = not own[2]
+                    fills = min(5, -(-(out - own[1]) // self.d)) if own[2] else 0
+                out = own[1] + fills * self.d
+                own[0] = out - ts
+                if not self.lock:
+                    self.shift = own[0]
+        own[1] = out + self.d
+        self.clock = max(self.clock, out)
+        return [(seq, out, fills, own[0])]
+
+
+def replay(items: DataFrame, model: Callable[[], Any], ts: str = "pts_us", arrival: str = "arrival_us", key: str = "stream_id", member: str | None = None) -> DataFrame:
+    """Rows (key, the model's fields) from each stream's items in order of seq. One stream is one group.
+
+    With `member`, streams that share a key form one group, and the model is told each item's stream.
+    """
     kind = items.schema[key].dataType.simpleString()
     fields = model().fields
     names = [f.strip().split(" ")[0] for f in fields.split(",")]
@@ -169,9 +209,10 @@ def replay(items: DataFrame, model: Callable[[], Any], ts: str = "pts_us", arriv
         m = model()
         rows: list[Row] = []
         frame = frame.sort_values("seq", kind="stable")
-        for seq, t, a in zip(frame["seq"].tolist(), frame["ts"].astype("Int64").tolist(), frame["arrival"].astype("Int64").tolist(), strict=True):
-            rows += m.push(seq, None if t is pd.NA else t, None if a is pd.NA else a)
+        more = [(x,) for x in frame["member"].tolist()] if member else [()] * len(frame)
+        for seq, t, a, x in zip(frame["seq"].tolist(), frame["ts"].astype("Int64").tolist(), frame["arrival"].astype("Int64").tolist(), more, strict=True):
+            rows += m.push(seq, None if t is pd.NA else t, None if a is pd.NA else a, *x)
         return pd.DataFrame([(keys[0], *r) for r in rows], columns=[key, *names])
 
-    given = items.selectExpr(key, "seq", f"{ts} as ts", f"{arrival} as arrival")
+    given = items.selectExpr(key, "seq", f"{ts} as ts", f"{arrival} as arrival", *([f"cast({member} as string) as member"] if member else []))
     return given.groupBy(key).applyInPandas(run, f"{key} {kind}, {fields}")

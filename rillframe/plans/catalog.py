@@ -215,6 +215,11 @@ def sentinel_fill_all(spark, d):
     return FR.sentinel(V.reordered(spark, d).withColumn("pts_us", F.col("dts_ms") * 1000), HOUR, HOUR, fill="all").select("stream_id", "seq", "fills", "out_us")
 
 
+@query()
+def sentinel_group(spark, d):
+    return S.replay(V.packets(spark, d), lambda: S.SentinelGroup(HOUR, 10 * HOUR), key="user_id", member="stream_id")
+
+
 @query()
 def sentinel_stall(spark, d):
     return S.replay(V.packets(spark, d), lambda: S.Stall(HOUR, 4 * HOUR, 6 * HOUR), key="user_id")

@@ -59,6 +59,19 @@ def test_global_shift_starts_after_more_than_ten():
     assert all(b[1] > a[1] for a, b in zip(got, got[1:]))
 
 
+def test_sentinel_group_shares_its_shift():
+    m = S.SentinelGroup(40_000)
+    out = {"v": [], "a": []}
+    for i in range(20):
+        jump = 7_000_000 if i >= 10 else 0
+        for k in "va":
+            out[k] += m.push(2 * i + (k == "a"), i * 40_000 + jump, 0, k)
+    for k in "va":
+        assert [b[1] - a[1] for a, b in zip(out[k], out[k][1:])] == [40_000 * (1 + b[2]) for b in out[k][1:]] or k == "a"
+    assert sum(r[2] for r in out["v"]) == 5 and {r[3] for r in out["v"][10:]} == {r[3] for r in out["a"][10:]}
+    assert S.SentinelGroup(40_000).push(0, None) == []
+
+
 def test_one_item_and_empty_streams(spark):
     empty = spark.createDataFrame([], "stream_id string, seq long, pts_us long, arrival_us long")
     assert S.replay(empty, S.Realtime).count() == 0
