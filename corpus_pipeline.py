@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillframe.llm import jaccard_join, language_id, mixing, pii, sentencepiece_bpe
-from rillframe.llm.common import bit_filter, in_filter, table, written
+from rillframe.llm.common import bit_filter, dropped, in_filter, table, written
 from rillframe.llm.queries import SURROGATE_KEY, fold, tokenizer_path
 
 
@@ -64,8 +64,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for number, (name, stage) in enumerate(STAGES):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if number:
+            dropped(spark, before)
     return docs
 
 
