@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillframe.llm import words as W
-from rillframe.llm.common import bit_filter, frugal, in_filter, mixed, row_key, slices, written
+from rillframe.llm.common import bit_filter, dropped, frugal, in_filter, mixed, row_key, slices, written
 from rillframe.llm.components import components
 
 SHINGLE = 5
@@ -68,7 +68,7 @@ def _sets(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[n
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (key, id, n, class, minimum hashes) and, with a null key, a task's counts of shingles (the chunk in id)."""
+    """Rows of documents (key, id, n, class, minimum hashes) and, with a null key, a task's counts of shingles up to 255 (the chunk in id)."""
     names = ["key", "id", "n", "class", "mins", "counts"]
     salts = mixed(np.arange(1, MIN_HASHES + 1, dtype=np.uint64))
     counts = np.zeros(1 << COUNTED_BITS, dtype=np.int64)
@@ -88,7 +88,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     some = np.flatnonzero(chunks.any(axis=1))
     if len(some):
         none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(some), none, none, pa.nulls(len(some), pa.list_(pa.int64())), pa.array([np.minimum(chunks[i], 65535).astype(np.uint16).tobytes() for i in some], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, pa.array(some), none, none, pa.nulls(len(some), pa.list_(pa.int64())), pa.array([np.minimum(chunks[i], 255).astype(np.uint8).tobytes() for i in some], pa.binary())], names=names)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -104,7 +104,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
                 total = np.zeros(1 << CHUNK_BITS, dtype=np.int64)
             at = chunk
-            total += np.frombuffer(counts, dtype=np.uint16)
+            total += np.frombuffer(counts, dtype=np.uint8)
     if at is not None:
         yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
 
@@ -325,11 +325,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         keys = needed.select("class").distinct().join(classes.select("class", "key"), "class")
         return written(rows.where(in_filter(spark, bit_filter(keys, "key"), "key")).select("text").mapInArrow(_segments, "class long, fragment int, shingles binary"), "segments")
 
-    links = written(verified(first, segments_of(_ends(first)), sizes), "links")
+    segments = segments_of(_ends(first))
+    links = written(verified(first, segments, sizes), "links")
+    dropped(spark, segments)
     roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "class"), "roots")
     now = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     spread = now.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "size")
     now = written(now.join(spread, "token"), "open")
+    dropped(spark, shared)
     few = now.where(F.col("size") <= FEW)
     other = few.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
     apart = (few["token"] == other["token"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))
@@ -344,6 +347,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     many = now.where(F.col("size") > FEW)
     segments = segments_of(_ends(pairs).unionAll(many.select("class")))
     links = links.unionAll(written(verified(pairs, segments, sizes), "links")).unionAll(written(_clusters(many, segments, parts), "links"))
+    dropped(spark, segments, now)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "class")
     named = classes.select("class", "least").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
