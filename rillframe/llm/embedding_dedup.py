@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import written
+from rillframe.llm.common import bit_filter, frugal, in_filter, written
 from rillframe.llm.components import components
 
-TABLES = 8
+TABLES = 5
 PROBES = 3
 BLOCK = 512
 THRESHOLD = 0.9
@@ -85,26 +85,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], tables: int) -> Iterator[pa.RecordBatch]:
-    """Rows (class, n, vector as bytes, all buckets as bytes, dims, table, bucket): one for each bucket of a class."""
+def _hashed(batches: Iterator[pa.RecordBatch], tables: int, single: bool, keys_only: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (dims, table, bucket) for each bucket of each class, and unless keys_only its name, count, vector and all buckets (as bytes)."""
+    kind = np.float32 if single else np.float64
     for batch in batches:
         rows, fine = _vectors(batch.column(2))
         lengths = np.array([len(r) for r in rows])
         for d in np.unique(lengths[fine]) if len(rows) else []:
             which = np.flatnonzero(fine & (lengths == d))
-            for at in range(0, len(which), 2048):
-                own = which[at : at + 2048]
-                x = _unit(np.stack([rows[i] for i in own]))
-                c = codes(x, tables)
-                for t in range(tables):
-                    for p in range(PROBES):
-                        new = np.ones(len(own), dtype=bool) if not p else (c[:, t, p : p + 1] != c[:, t, :p]).all(axis=1)
-                        k = np.flatnonzero(new)
-                        idx = pa.array(own[k])
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(idx), batch.column(1).take(idx), pa.array([x[i].tobytes() for i in k], pa.binary()), pa.array([c[i].tobytes() for i in k], pa.binary()), pa.array(np.full(len(k), d, np.int32)), pa.array(np.full(len(k), t, np.int32)), pa.array(c[k, t, p])],
-                            names=["class", "n", "vector", "codes", "dims", "table", "bucket"],
-                        )
+            c = codes(_unit(np.stack([rows[i] for i in which])), tables)
+            for t in range(tables):
+                for p in range(PROBES):
+                    k = np.flatnonzero((c[:, t, p : p + 1] != c[:, t, :p]).all(axis=1)) if p else np.arange(len(which))
+                    cols = [pa.array(np.full(len(k), d, np.int32)), pa.array(np.full(len(k), t, np.int32)), pa.array(c[k, t, p])]
+                    if not keys_only:
+                        own = pa.array(which[k])
+                        cols += [batch.column(0).take(own), batch.column(1).take(own), pa.array([rows[i].astype(kind).tobytes() for i in which[k]], pa.binary()), pa.array([c[i].astype(np.int32).tobytes() for i in k], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["dims", "table", "bucket", "class", "n", "vector", "codes"][: len(cols)])
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -144,7 +141,7 @@ def _met(group: dict[str, np.ndarray], x: np.ndarray, c: np.ndarray, threshold:
     return counted @ group["n"], _labels(linked)
 
 
-def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], threshold: float, single: bool) -> Iterator[pa.RecordBatch]:
     """Rows (class, links, root) from rows sorted by group."""
     names = ("dims", "table", "bucket", "low", "high")
     rest: pa.Table | None = None
@@ -162,8 +159,8 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         for s, e in zip(starts, ends, strict=True):
             if e - s < 2:
                 continue
-            x = np.frombuffer(b"".join(vectors[s:e]), dtype=np.float64).reshape(e - s, -1)
-            c = np.frombuffer(b"".join(code[s:e]), dtype=np.int64).reshape(e - s, -1, PROBES)
+            x = _unit(np.frombuffer(b"".join(vectors[s:e]), dtype=np.float32 if single else np.float64).reshape(e - s, -1).astype(np.float64))
+            c = np.frombuffer(b"".join(code[s:e]), dtype=np.int32).reshape(e - s, -1, PROBES)
             got = _met({k: v[s:e] for k, v in cols.items()}, x, c, threshold)
             if got is None:
                 continue
@@ -189,21 +186,28 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
 def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES) -> DataFrame:
     """Per row of vectors: its id, n_links and component_id.
 
-    What moves is each distinct vector once for its class and once for each of its buckets.
+    What moves is each distinct vector once for its class and once for each of its buckets; buckets that are cut move once more.
     """
+    frugal(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e"), F.xxhash64(vector_col).alias("k1"), F.hash(vector_col).alias("k2"))
     # a class is named by a number of its own, so that null ids and ids that several vectors share do no harm
     classes = written(rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.any_value("e").alias("e")).withColumn("class", F.xxhash64("k1", "k2")), "classes")
-    hashed = classes.select("class", "n", "e").mapInArrow(lambda b: _hashed(b, tables), "class long, n long, vector binary, codes binary, dims int, table int, bucket long")
-    hashed = written(hashed, "buckets")
+    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
+    given = classes.select("class", "n", "e")
     keys = ["dims", "table", "bucket"]
-    big = hashed.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    placed = hashed.join(big, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    buckets = given.mapInArrow(lambda b: _hashed(b, tables, single, True), "dims int, table int, bucket long")
+    big = written(buckets.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1").withColumn("of", F.xxhash64(*keys)), "big-buckets")
+    hashed = given.mapInArrow(lambda b: _hashed(b, tables, single, False), "dims int, table int, bucket long, class long, n long, vector binary, codes binary")
+    hashed = hashed.withColumn("of", F.xxhash64(*keys))
+    large = in_filter(vectors.sparkSession, bit_filter(big.select("of"), "of"), "of")
+    whole = hashed.where(~large).drop("of").withColumn("blocks", F.lit(1)).withColumn("other", F.lit(0))
+    cut = hashed.where(large).drop("of").join(big.drop("of"), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = whole.unionByName(cut).withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), "blocks").cast("int"))
     placed = placed.select("class", "n", "vector", "codes", *keys, "block", F.least("block", "other").cast("int").alias("low"), F.greatest("block", "other").cast("int").alias("high"))
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*keys, "low", "high"]
-    found = placed.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: _compared(b, threshold), "class long, links long, root long")
+    found = placed.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: _compared(b, threshold, single), "class long, links long, root long")
     found = written(found, "links")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     roots = components(found.where("class <> root").select(F.col("class").alias("u"), F.col("root").alias("v")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import code_points, slices
+from rillframe.llm.common import code_points, frugal, slices
 
 #: Number of hashed n-gram features.
 DIMS = 8192
@@ -127,6 +127,7 @@ def fit(
     docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, slack: float = 0.25
 ) -> Model:
     """Learns from the rows where `learn` holds and the language isn't null."""
+    frugal(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -173,17 +174,18 @@ def fit(
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, lang_score (0 to 1) and lang_rejected; columns of these names are replaced. Only the text is read for it."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "lang_score", "lang_rejected")
+    sent = frugal(docs.sparkSession).sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, score, out = [], np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
-            for first, end, counts in _blocks(batch, text_col):
-                got = sent.value.predict(counts)
-                names += got[0]
-                score[first:end], out[first:end] = got[1:]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(out)], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_rejected boolean")
+    @F.arrow_udf("lang string, score double, rejected boolean")
+    def nearest(texts: pa.Array) -> pa.Array:
+        names, score, out = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for first, end, counts in _blocks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+            got = sent.value.predict(counts)
+            names += got[0]
+            score[first:end], out[first:end] = got[1:]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(out)], names=["lang", "score", "rejected"])
+
+    kept = docs.drop("lang_pred", "lang_score", "lang_rejected")
+    own = F.struct(*kept.columns).alias("doc")
+    got = kept.select(own, nearest(F.col(text_col)).alias("near"))
+    return got.select("doc.*", F.col("near.lang").alias("lang_pred"), F.col("near.score").alias("lang_score"), F.col("near.rejected").alias("lang_rejected"))

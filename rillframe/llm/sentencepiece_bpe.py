@@ -17,18 +17,18 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rillframe.llm.common import model_bytes
+from rillframe.llm.common import frugal, model_bytes
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Distinct chunks that a worker remembers; beyond it the memory starts anew, which changes no result.
-REMEMBERED = 500_000
+#: Distinct chunks, and pairs, that a task remembers; beyond it the memory starts anew, which changes no result.
+REMEMBERED = 250_000
+PAIRS = 400_000
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -108,7 +108,7 @@ class PieceModel:
     def compatible(self, left: str, right: str) -> bool:
         got = self.pairs.get((left, right))
         if got is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             got = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return got
@@ -242,13 +242,8 @@ def _pieces(raw: bytes) -> Iterator[str]:
             at += 1
 
 
-@lru_cache(maxsize=2)
-def _model(blob: bytes) -> PieceModel:
-    return PieceModel(blob)
-
-
 def load(path: str) -> PieceModel:
-    return _model(model_bytes(path))
+    return PieceModel(model_bytes(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -257,12 +252,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have the end id only. Repeated rows give repeated results. There is no shuffle; a task keeps one batch,
     the vocabulary and at most REMEMBERED chunks.
     """
-    blob = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
+    blob = frugal(docs.sparkSession).sparkContext.broadcast(model_bytes(path))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(blob.value)
+        model = PieceModel(blob.value)  # of one task: a worker that goes on to other work keeps none of it
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = list(zip(*map(model.digest, texts), strict=True)) or [(), (), (), ()]
