@@ -4,7 +4,8 @@ Entities (addresses of mail and internet, telephone, card, account and social se
 are found by one pattern. Each distinct entity gets a keyed seed, and its surrogate is drawn from that seed character by character: a digit gives
 way to a digit, a Latin or Cyrillic vowel or consonant to one of its kind and case, and punctuation and spacing stay. A given name
 gives way to one of the same gender and script, a valid card number to a valid one, and an internet address to an address. The same entity has the
-same surrogate everywhere, whatever its spacing or case; a person's surname decides, so that "Mr Smith" and "John Smith" stay related.
+same surrogate everywhere, whatever its spacing or case; a person's surname decides, so that "Mr Smith" and "John Smith" stay related. A name goes on
+over all capitalised words that follow it, and the last one counts as the surname; the words between are drawn anew as well.
 
 Different entities keep different surrogates, and none equals an entity of the corpus: clashes of surrogates are found by joins over the
 distinct entities, and the later one by name draws again until there are none.
@@ -30,15 +31,20 @@ HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor S
 # Patterns of entities, tried in this order at the start of each word or number.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+_HONORIFIC = rf"(?:{'|'.join(HONORIFICS)})(?!\p{{L}})\.?"
+_PARTICLE = "(?:van|von|zu|der|den|ten|ter|de|del|della|di|da|dos|du|la|le|el|al|bin|ibn)"
+# a capitalised word whole: inner capitals, apostrophes (but for a possessive s) and hyphens belong to it
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’]\p{L}))(?:['’](?![sS](?!\p{L}))[\p{L}\p{M}]++|[-‐‑][\p{L}\p{M}]++)*+"
+_NAME = rf"(?:{_PARTICLE}[ ])*+(?:d['’])?+(?:\p{{Lu}}\.[ ]?)*+{_WORD}"
 PATTERNS = {
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?:\d{4}[ -]?){3}\d{4}(?![\w-])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
-    "secret": r"(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9_+/-]{8,}",
+    "secret": r"(?=[pPsStTaA])(?i:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9_+/-]{8,}",
     "key": r"(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "person": rf"(?=[A-ZА-Я])(?:(?:{'|'.join(HONORIFICS)})\b\.?[ ](?:(?:{_GIVEN})[ ])?\p{{Lu}}\p{{Ll}}++|(?:{_GIVEN})[ ]\p{{Lu}}\p{{Ll}}++)",
+    "person": rf"(?=[A-ZА-Я])(?:(?:{_HONORIFIC}[ ])++|(?:{_GIVEN})(?:-{_WORD})?+[ ]){_NAME}(?:[ ]{_NAME})*+",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
 }
 _FIGURES = "|".join(PATTERNS[k] for k in ("ip", "card", "ssn", "phone"))
@@ -78,7 +84,7 @@ def _secret(value: Column) -> Column:
 def same_entity(kind: Column, value: Column) -> Column:
     """What all spellings of an entity have in common."""
     plain = F.regexp_replace(value, r"[^0-9A-Za-z]", "")
-    return F.when(kind == "email", F.lower(value)).when(kind == "person", F.lower(F.substring_index(value, " ", -1))).when(kind.isin("phone", "card", "ssn", "iban"), plain).when(kind == "secret", _secret(value)).otherwise(value)
+    return F.when(kind == "email", F.lower(value)).when(kind == "person", F.translate(F.lower(F.substring_index(value, " ", -1)), "’‐‑", "'--")).when(kind.isin("phone", "card", "ssn", "iban"), plain).when(kind == "secret", _secret(value)).otherwise(value)
 
 
 def _byte(seed: Column, i: Column) -> Column:
@@ -95,8 +101,9 @@ def _characters(value: Column, seed: Column, hexes: Column) -> Column:
 
     def drawn(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substr(value, F.lit(1), i.cast("int")), r"[^\p{L}\p{N}]", ""))
-        kind = F.element_at(kinds, c)
-        alphabet = F.when(hexes & kind.isin(1, 2), "abcdef").otherwise(F.element_at(F.array(*map(F.lit, KINDS)), kind + 1))
+        # letters of other scripts give way to Latin consonants
+        kind = F.coalesce(F.element_at(kinds, c), F.when(c.rlike(r"^\p{Lu}$"), 4).when(c.rlike(r"^\p{L}$"), 2))
+        alphabet = F.when(hexes & kind.isin(1, 2), "abcdef").when(hexes & kind.isin(3, 4), "ABCDEF").otherwise(F.element_at(F.array(*map(F.lit, KINDS)), kind + 1))
         return F.coalesce(F.substr(alphabet, (_byte(seed, before) % F.length(alphabet) + 1).cast("int"), F.lit(1)), c)
 
     return F.array_join(F.transform(chars, drawn), "")
@@ -112,6 +119,14 @@ def _given(name: Column, key: str) -> Column:
     return out
 
 
+def _before_surname(word: Column, seed: Column, key: str) -> Column:
+    """A word of a name but the last: titles and particles stay, known given names are moved on, others drawn anew and never the same."""
+    given = _given(word, key)
+    drawn = _characters(word, F.sha2(F.concat(seed, F.lower(word)), 512), F.lit(False))
+    moved = F.translate(word, "".join(KINDS), "".join(k[1:] + k[:1] for k in KINDS))
+    return F.when(word.rlike(f"^(?:{_HONORIFIC}|{_PARTICLE})$"), word).when(given != word, given).when(drawn != word, drawn).otherwise(moved)
+
+
 def surrogate(kind: Column, value: Column, seed: Column, grows: Column, key: str) -> Column:
     """The surrogate of an entity as it is written in a text."""
     none = F.lit(False)
@@ -128,12 +143,12 @@ def surrogate(kind: Column, value: Column, seed: Column, grows: Column, key: str
     )
     tail = F.when(kind == "email", F.length(F.substring_index(value, ".", -1)) + 1).otherwise(0)
     body = F.substr(value, head + 1, F.length(value) - head - tail)
-    drawn = _characters(body, seed, F.when(kind == "secret", body.rlike("^[0-9a-f]+$")).otherwise(none))
+    drawn = _characters(body, seed, F.when(kind == "secret", body.rlike("^[0-9A-Fa-f]+$")).otherwise(none))
     out = F.concat(F.substr(value, F.lit(1), head), drawn, F.substr(value, F.length(value) - tail + 1, tail))
     digits = F.regexp_replace(F.concat(F.substr(value, F.lit(1), head), drawn), "[^0-9]", "")
     last = (10 - _luhn_sum(F.concat(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("0"))) % 10) % 10
     valid = luhn(F.regexp_replace(value, "[^0-9]", ""))
-    names = F.array_join(F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: _given(w, key)), " ")
+    names = F.array_join(F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: _before_surname(w, seed, key)), " ")
     return (
         F.when(kind == "ip", F.concat_ws(".", *[(_byte(seed, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]))
         .when((kind == "card") & valid, F.concat(F.substr(out, F.lit(1), F.length(out) - 1), last.cast("string")))

@@ -183,6 +183,26 @@ def test_surrogates(spark, odd, empty, clashing):
     assert kept.count() == odd.count() and kept.columns.count("n_entities") == 1
 
 
+def test_surrogates_are_whole(spark):
+    rows = [
+        ('TOKEN = "9233A8EC4410BD07" and Password: hunterTwo22', ["9233A8EC", "hunterTwo22"]), ("then Mr McDonald left", ["Mc", "Donald"]), ("then Mr Smith-Jones left", ["Smith", "Jones"]),
+        ("then Mary Jane Watson left", ["Watson"]), ("then John O'Brien left", ["Brien"]), ("then John O’Brien's left", ["Brien"]), ("then John F. Kennedy left", ["F. ", "Kennedy"]),
+        ("then Herr Dr. Müller left", ["Müller"]), ("then Mary Xenia Watson left", ["Xenia", "Watson"]), ("then Mr van Gogh left", ["Gogh"]), ("then Jean-Pierre Dupont left", ["Jean-", "Dupont"]),
+        ("then Иван Петрович Сидоров left", ["Петрович", "Сидоров"]), ("then Dr Παπαδόπουλος left", ["Παπ", "πουλος"]), ("then Mr SMITH left", ["SMITH"]),
+    ]
+    # a long run of capitals must not exhaust the matcher
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(99, "then Mr " + "SHOUT " * 20000 + "left"), (100, "Peter's token is Here: Marked, O'Neill's, Smith-Jones")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace(df, "k").collect()}
+    for i, (was, gone) in enumerate(rows):
+        new = got[i]["text"]
+        assert got[i]["n_entities"] == (2 if i == 0 else 1) and not [g for g in gone if g in new], (was, new)
+        assert i == 0 or (new.startswith("then ") and new.endswith(" left") and len(new.split()) == len(was.split()))
+    assert re.fullmatch('TOKEN = "[0-9A-F]{16}" and Password: [A-Za-z0-9]{11}', got[0]["text"])
+    assert got[4]["text"].split()[2].lower() == got[5]["text"].split()[2].lower().replace("’", "'").removesuffix("'s")
+    assert got[3]["text"].split()[3] == got[8]["text"].split()[3] and got[9]["text"].startswith("then Mr van ")
+    assert got[99]["n_entities"] == 1 and "SHOUT" not in got[99]["text"] and got[100]["n_entities"] == 0
+
+
 def test_surrogates_stay_native(spark, small):
     plan = queries()["op5_pii"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
