@@ -1,8 +1,10 @@
 """Language identification by nearest centroid.
 
 A text is a TF-IDF vector of hashed letter n-grams (one to three letters, whole text) of unit length. Each language has several
-centroids, found by spherical k-means among its training vectors. The nearest centroid by cosine names the language. A text that is
-farther from it than `slack` times the radius seen in training is marked as rejected; a text without letters has language `und`.
+centroids, found by spherical k-means among its training vectors. The nearest centroid by cosine names the language. A text is marked as
+rejected if its cosine is below (1 - `slack`) times the one that all but a hundredth of the language's training texts of its length reach: short texts
+are farther from every centroid, so each length (in powers of two of n-grams) has a limit of its own, learned from whole texts and their beginnings. Each half of
+the texts is held against centroids of the other half. A text without letters has language `und`.
 
 Document frequencies are counted over all training rows. The centroids are fitted on at most about `per_language` rows of each
 language, chosen by a hash of the row's id.
@@ -17,6 +19,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,11 @@ AT_ONCE = 256
 PER_LANGUAGE = 400
 CENTROIDS = 4
 UNKNOWN = "und"
+#: Share of a language's training texts that may lie beyond its radius.
+BEYOND = 0.01
+#: Letters of the beginnings of texts from which limits of short texts are learned, and the number of classes of length.
+BEGINNINGS = (16, 64, 256, 1024)
+LENGTHS = 32
 
 
 @lru_cache(maxsize=1)
@@ -87,8 +95,8 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    #: The least cosine that isn't rejected.
-    least: float
+    #: For each language and class of length, the least cosine that isn't rejected.
+    least: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(counts) * self.idf)
@@ -103,7 +111,7 @@ class Model:
         blank = counts.sum(axis=1) == 0
         score[blank] = 0
         named = [UNKNOWN if b else self.languages[i] for b, i in zip(blank, self.owner[best], strict=True)]
-        return named, score, blank | (score < self.least)
+        return named, score, blank | (score < self.least[self.owner[best], _length(counts.sum(axis=1))])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -123,6 +131,26 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _length(grams: np.ndarray) -> np.ndarray:
+    """Class of length of texts with so many n-grams."""
+    return np.clip(np.log2(np.maximum(grams, 1)).astype(int), 0, LENGTHS - 1)
+
+
+def _limits(x: np.ndarray, whole: np.ndarray, owner: np.ndarray, grams: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """The least cosine by class of length; x has whole texts and beginnings, owner tells the text. A class without texts takes the next shorter one's."""
+    half = owner % 2
+    cos = np.zeros(len(x))
+    for h in (0, 1):
+        others = x[whole & (half != h)]
+        if (half == h).any():
+            cos[half == h] = (x[half == h] @ _centroids(others if len(others) else x[whole], k).T).max(axis=1)
+    out, at = np.zeros(LENGTHS), _length(grams)
+    for c in range(LENGTHS):
+        mine = cos[at == c]
+        out[c] = (1 - slack) * np.quantile(mine, BEYOND) if len(mine) else out[c - 1] if c else 0
+    return out
+
+
 def fit(
     docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, slack: float = 0.25
 ) -> Model:
@@ -131,7 +159,7 @@ def fit(
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), 0.0)
+        return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros((0, LENGTHS)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(DIMS, dtype=np.int64)
@@ -150,26 +178,32 @@ def fit(
             for first, end, counts in _blocks(batch, "text"):
                 x = _unit(np.log1p(counts) * idf).astype(np.float16)
                 at = [np.flatnonzero(r).astype(np.int16) for r in x]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array([a.tobytes() for a in at]), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)])], names=["id", "lang", "at", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(counts.sum(axis=1).astype(np.int64)), pa.array([a.tobytes() for a in at]), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)])], names=["id", "lang", "part", "grams", "at", "x"])
 
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     rate = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, per_language / n)) for k, n in sorted(sizes.items())])
     kind = rows.schema["id"].dataType.simpleString()
     bound = 2 * per_language * len(sizes) + 100
-    got = rows.where(share < rate).select("id", "lang", "text").limit(bound).mapInArrow(sampled, f"id {kind}, lang string, at binary, x binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["id"], r["at"], r["x"]))
-    x = np.zeros((len(got), DIMS), dtype=np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["x"], np.float16)
-    lang = np.array([r["lang"] for r in got])
-    full = np.linalg.norm(x, axis=1) > 0
-    names = sorted({k for k, f in zip(lang, full, strict=True) if f})
-    if not names:
-        return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), 0.0)
-    each = [_centroids(_unit(x[full & (lang == k)]), centroids) for k in names]
+    parts = F.array(F.struct(F.lit(0).alias("part"), F.col("text").alias("text")), *[F.struct(F.lit(n).alias("part"), F.when(F.length("text") > n, F.substring("text", 1, n)).alias("text")) for n in BEGINNINGS])
+    some = rows.where(share < rate).select("id", "lang", "text").limit(bound).select("id", "lang", F.xxhash64("text").alias("_text"), F.explode(parts).alias("p"))
+    cut = some.where("p.text is not null").select("id", "lang", F.struct("_text", "p.part").alias("part"), "p.text")
+    got = cut.mapInArrow(sampled, f"id {kind}, lang string, part struct<_text: long, part: int>, grams long, at binary, x binary").collect()
+    got = sorted((r for r in got if r["grams"]), key=lambda r: (r["lang"], r["id"], r["part"]["_text"], r["part"]["part"]))
+    if not got:
+        return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros((0, LENGTHS)))
+    names, each, least = [], [], []
+    for name, group in groupby(got, key=lambda r: r["lang"]):
+        mine = list(group)
+        x = np.zeros((len(mine), DIMS), dtype=np.float32)
+        for i, r in enumerate(mine):
+            x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["x"], np.float16)
+        x = _unit(x)
+        whole = np.array([r["part"]["part"] == 0 for r in mine])
+        names.append(name)
+        each.append(_centroids(x[whole], centroids))
+        least.append(_limits(x, whole, np.cumsum(whole), np.array([r["grams"] for r in mine]), centroids, slack))
     c, owner = np.concatenate(each), np.repeat(np.arange(len(names)), [len(e) for e in each])
-    nearest = np.concatenate([(_unit(x[full & (lang == k)]) @ e.T).max(axis=1) for k, e in zip(names, each, strict=True)])
-    return Model(names, idf, c.astype(np.float32), owner, slack * float(nearest.min()))
+    return Model(names, idf, c.astype(np.float32), owner, np.stack(least))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

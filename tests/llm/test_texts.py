@@ -78,6 +78,21 @@ def test_rejects_other_scripts(spark, small):
     assert all(r["lang_rejected"] for r in language_id.predict(far, model).collect())
 
 
+def test_rejects_long_texts_of_no_language(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.fit(docs, fold(3) != 1)
+    rng = random.Random(8)
+    scripts = {"greek": (0x3B1, 0x3C9), "cyrillic": (0x430, 0x44F), "hangul": (0xAC00, 0xD7A3), "latin": (0x61, 0x7A)}
+    word = lambda lo, hi: "".join(chr(rng.randint(lo, hi)) for _ in range(rng.randint(2, 9)))
+    texts = [(f"{k} {n}", " ".join(word(*at) for _ in range(n))) for k, at in scripts.items() for n in (20, 100, 2000)]
+    got = language_id.predict(spark.createDataFrame(texts, "name string, text string"), model).collect()
+    assert not [(r["name"], r["lang_score"]) for r in got if not r["lang_rejected"]]
+    held = docs.where((fold(3) == 1) & (F.length("text") > 100))
+    short = held.withColumn("text", F.substring("text", 1, 60))
+    for part in (held, short):
+        assert language_id.predict(part, model).agg(F.avg(F.col("lang_rejected").cast("int"))).first()[0] < 0.05
+
+
 def test_toxicity_learns_subwords():
     rng = random.Random(2)
     clean = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(400)]
