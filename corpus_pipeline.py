@@ -43,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that their tokens meet the targets of sources, languages and topics."""
-    return mixing.weigh(mixing.counted(docs, mixing.topic_of(F.col("text")))).where("stays").select(*docs.columns)
+    return mixing.weigh(mixing.counted(docs, mixing.topic_of(F.col("text"))), bounded=True).where("stays").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,6 +235,18 @@ def test_mixture(spark, odd, empty, clashing):
     assert mixing.weigh(mixing.counted(clashing, mixing.topic_of(F.col("text")))).columns.count("weight") == 1
 
 
+def test_bounded_mixture_meets_its_targets(spark):
+    cells = [(s, g, t, n) for s, g, t, n in [("big", "en", "t", 6000), ("big", "de", "u", 2500), ("big", "es", "t", 500), ("mid", "en", "u", 900), ("mid", "es", "u", 700), ("low", "de", "t", 500), ("low", "en", "u", 400), ("low", "es", "t", 300)]]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "doc_id long, source string, lang string, topic string, n_tokens long")
+    off = lambda df: max(abs(r["wanted"] - r["expected"]) for r in mixing.marginals(df).collect())
+    assert off(mixing.weigh(rows, share=0.32)) > 0.005
+    got = mixing.weigh(rows, share=0.32, bounded=True)
+    assert off(got) < 1e-4 and max(r["weight"] for r in got.collect()) * 0.32 <= 1 + 1e-9
+    few = rows.select("source", "lang", "topic", F.col("n_tokens").alias("tokens"))
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.rake_bounded(few, 1.0)
+
+
 def test_pipeline(spark, odd, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     odd.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
