@@ -113,28 +113,31 @@ class SyncBuffer(Realtime):
 
 
 class GlobalShift:
-    """Rising decoding times with a shift for good: after more than ten packets in a row had to move, all later ones move as far."""
+    """Rising decoding times of a mux: when a stream's packets had to move more than ten times in a row, the largest current move of any stream is added to
+    a shift that all streams share, and all counters begin anew. A stream's first packet isn't shifted. Times are in one unit; presentation times (given as arrival) move along.
+    """
 
-    fields = "seq long, fixed_dts long, shift long"
+    fields = "seq long, fixed_dts long, shift long, fixed_pts long, stream string"
 
     def __init__(self, most: int = 10):
-        self.most, self.last, self.shift, self.run, self.moved = most, None, 0, 0, 0
+        self.most, self.shift = most, 0
+        self.streams: dict[str, list] = {}
 
-    def push(self, seq: int, ts: int | None, arrival: int | None = None) -> list[Row]:
+    def push(self, seq: int, ts: int | None, arrival: int | None = None, stream: str = "") -> list[Row]:
         if ts is None:
             return []
-        out = ts if self.last is None else ts + self.shift
-        if self.last is not None and out <= self.last:
-            self.moved = max(self.moved, self.last + 1 - out)
-            out = self.last + 1
-            self.run += 1
-        else:
-            self.run = self.moved = 0
-        if self.run > self.most:
-            self.shift += self.moved
-            self.run = self.moved = 0
-        self.last = out
-        return [(seq, out, self.shift)]
+        own = self.streams.setdefault(stream, [None, 0, 0])  # last time, current move, moves in a row
+        out, pts = ts, arrival
+        if own[0] is not None:
+            out, pts = ts + self.shift, None if arrival is None else arrival + self.shift
+            own[1:] = [own[0] + 1 - out, own[2] + 1] if out <= own[0] else [0, 0]
+            out = max(out, own[0] + 1)
+        own[0] = out
+        if own[2] > self.most:
+            self.shift += max(s[1] for s in self.streams.values())
+            for s in self.streams.values():
+                s[1:] = [0, 0]
+        return [(seq, out, self.shift, None if pts is None else max(pts, out), stream)]
 
 
 class Stall:
@@ -196,10 +199,10 @@ class SentinelGroup:
         return [(seq, out, fills, own[0])]
 
 
-def replay(items: DataFrame, model: Callable[[], Any], ts: str = "pts_us", arrival: str = "arrival_us", key: str = "stream_id", member: str | None = None) -> DataFrame:
+def replay(items: DataFrame, model: Callable[[], Any], ts: str = "pts_us", arrival: str = "arrival_us", key: str = "stream_id", member: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, the model's fields) from each stream's items in order of seq. One stream is one group.
 
-    With `member`, streams that share a key form one group, and the model is told each item's stream.
+    With `member`, streams that share a key form one group, and the model is told each item's stream. With `order`, items come in order of these columns, then of seq.
     """
     kind = items.schema[key].dataType.simpleString()
     fields = model().fields
@@ -208,11 +211,11 @@ def replay(items: DataFrame, model: Callable[[], Any], ts: str = "pts_us", arriv
     def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         m = model()
         rows: list[Row] = []
-        frame = frame.sort_values("seq", kind="stable")
+        frame = frame.sort_values([*order, "seq"] if order else "seq", kind="stable")
         more = [(x,) for x in frame["member"].tolist()] if member else [()] * len(frame)
         for seq, t, a, x in zip(frame["seq"].tolist(), frame["ts"].astype("Int64").tolist(), frame["arrival"].astype("Int64").tolist(), more, strict=True):
             rows += m.push(seq, None if t is pd.NA else t, None if a is pd.NA else a, *x)
         return pd.DataFrame([(keys[0], *r) for r in rows], columns=[key, *names])
 
-    given = items.selectExpr(key, "seq", f"{ts} as ts", f"{arrival} as arrival", *([f"cast({member} as string) as member"] if member else []))
+    given = items.selectExpr(key, "seq", f"{ts} as ts", f"{arrival} as arrival", *([f"cast({member} as string) as member"] if member else []), *order)
     return given.groupBy(key).applyInPandas(run, f"{key} {kind}, {fields}")

@@ -96,7 +96,9 @@ def mux_pts_ge_dts(spark, d):
 @query()
 def mux_global_shift(spark, d):
     late = V.reordered(spark, d).withColumn("late", F.col("dts_ms") - F.when(F.col("seq") % 1000 > 500, 90_000_000).otherwise(0))
-    return S.replay(late, S.GlobalShift, ts="late")
+    merged = R.merge_key(late, [s for s, _ in V.STREAMS], "late").withColumn("mux", F.lit("mux"))
+    got = S.replay(merged, S.GlobalShift, ts="late", arrival="pts_ms", key="mux", member="stream_id", order=("merge_ts", "src_index"))
+    return got.select(F.col("stream").alias("stream_id"), "seq", "fixed_dts", "shift", "fixed_pts")
 
 
 @query(f"""WITH {REORDERED}, m AS (SELECT *, max(dts_ms) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM re)

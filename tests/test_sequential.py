@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from rillframe.operators import routing as R
 from rillframe.operators import sequential as S
 from rillframe.sources import tables as V
 from rillframe.streaming.stateful import replay_stream, report_stream
@@ -59,6 +60,19 @@ def test_global_shift_starts_after_more_than_ten():
     assert all(b[1] > a[1] for a, b in zip(got, got[1:]))
 
 
+def test_global_shift_is_shared_by_streams(spark):
+    # a is stuck from its second packet on: its eleventh move is 111 - 50 = 61, which v and a then take over; late only begins afterwards
+    items = [("a", 0, 100, 100), ("v", 1, 100, 130)] + [("a", 1 + i, 50, 50) for i in range(1, 12)] + [("v", 13, 140, 150), ("a", 14, 145, 155), ("late", 15, 146, None)]
+    want = [("a", 0, 100, 0, 100), ("v", 1, 100, 0, 130)] + [("a", 1 + i, 100 + i, 61 if i == 11 else 0, 100 + i) for i in range(1, 12)] + [("v", 13, 201, 61, 211), ("a", 14, 206, 61, 216), ("late", 15, 146, 61, None)]
+    df = R.merge_key(spark.createDataFrame(items, "stream_id string, seq long, dts_us long, pts_us long"), ["a", "v", "late"]).selectExpr("*", "'m' as mux")
+    got = S.replay(df.orderBy("pts_us"), S.GlobalShift, ts="dts_us", arrival="pts_us", key="mux", member="stream_id", order=("merge_ts", "src_index"))
+    # v's first packet has the same time as a's, which come first
+    assert sorted(tuple(r) for r in got.where("stream = 'a'").select("stream", "seq", "fixed_dts", "shift", "fixed_pts").collect()) == [w for w in want if w[0] == "a"]
+    assert sorted((r["stream"], r["seq"]) for r in got.collect()) == sorted(w[:2] for w in want)
+    m = S.GlobalShift()
+    assert [(r[4], *r[:4]) for k, s, t, p in items for r in m.push(s, t, p, k)] == want
+
+
 def test_sentinel_group_shares_its_shift():
     m = S.SentinelGroup(40_000)
     out = {"v": [], "a": []}
