@@ -10,23 +10,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles at a time; a longer text is one slice of its own.
 SLICE_BYTES = 4 << 20
 
 
-#: Rows that a task hands to Python at a time, and the size of a row group that it writes: both bound an executor's memory.
+#: Rows and bytes that a task hands to Python at a time, and the size of a row group that it writes: they bound an executor's memory.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 ROW_GROUP = 16 << 20
+#: Rows of a narrow table that are worth a task of their own.
+TASK_ROWS = 20_000
 
 
 def frugal(spark: SparkSession) -> SparkSession:
-    """Makes Arrow batches small for this session, unless they are smaller still."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Makes Arrow batches small for this session, in rows and in bytes, unless they are smaller still."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int("".join(c for c in spark.conf.get(name) if c in "-0123456789")) <= most:
+            spark.conf.set(name, most)
     return spark
 
 
@@ -35,28 +39,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (as in local tests) one under the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine, where it may be unset, one under the warehouse serves."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes df once to the shared folder and returns it read again: later plans start from files that survive a lost executor."""
+def sized(df: DataFrame, what: str, most: int | None = None) -> tuple[DataFrame, int]:
+    """written(), and the number of rows. Where at most so many rows are known to come, no more tasks write than they are worth."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // TASK_ROWS)))
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+def written(df: DataFrame, what: str, most: int | None = None) -> DataFrame:
+    """Writes df once to the shared folder and returns it read again: later plans start from files that survive a lost executor."""
+    return sized(df, what, most)[0]
 
 
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes the files of tables that written() returned and that no later plan reads."""
+    """Deletes the files of tables that written() returned and that no later plan reads.
+
+    Spark deletes the shuffle files of finished plans once the driver's memory is collected, which a driver with little to do puts off; so it is asked to.
+    """
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for df in frames:
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
             p.getFileSystem(hadoop).delete(p, True)
+    spark.sparkContext._jvm.System.gc()
 
 
 def row_key(*cols: str | Column) -> Column:

@@ -8,7 +8,7 @@ Equal vectors are one class with a count, so that they meet others once. A bucke
 are compared as rows of their own; none is dropped.
 
 Null and zero vectors, and those with null or non-finite components, link with nothing. Only vectors of one length link. Each row is a vector of its own,
-so that repeated rows link with each other; a component is named by its least id (null ids first). Results may lack links that no table finds: see the
+so that repeated rows link with each other; a component is named by its least id (null ids first). An empty table gives an empty one. Results may lack links that no table finds: see the
 README for measured recall.
 """
 
@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import bit_filter, frugal, in_filter, written
-from rillframe.llm.components import components
+from rillframe.llm.common import bit_filter, frugal, in_filter, sized, written
+from rillframe.llm.components import stars
 
-TABLES = 5
+#: Hash tables for vectors of up to so many dimensions: more dimensions have more buckets, in which near vectors meet less often.
+TABLES = {64: 5, 256: 7, 768: 10, 1 << 30: 12}
 PROBES = 3
 BLOCK = 512
 THRESHOLD = 0.9
@@ -42,9 +43,14 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x.reshape(n, d) / np.sqrt(d)
 
 
-def codes(x: np.ndarray, tables: int = TABLES) -> np.ndarray:
+def tables_for(dims: int) -> int:
+    return next(t for most, t in TABLES.items() if dims <= most)
+
+
+def codes(x: np.ndarray, tables: int | None = None) -> np.ndarray:
     """Buckets of unit vectors: rows x tables x probes, the own bucket first."""
     n, d = x.shape
+    tables = tables or tables_for(d)
     size = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, size))
     padded[:, :d] = x
@@ -85,7 +91,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], tables: int, single: bool, keys_only: bool) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], tables: int | None, single: bool, keys_only: bool) -> Iterator[pa.RecordBatch]:
     """Rows (dims, table, bucket) for each bucket of each class, and unless keys_only its name, count, vector and all buckets (as bytes)."""
     kind = np.float32 if single else np.float64
     for batch in batches:
@@ -94,7 +100,7 @@ def _hashed(batches: Iterator[pa.RecordBatch], tables: int, single: bool, keys_o
         for d in np.unique(lengths[fine]) if len(rows) else []:
             which = np.flatnonzero(fine & (lengths == d))
             c = codes(_unit(np.stack([rows[i] for i in which])), tables)
-            for t in range(tables):
+            for t in range(c.shape[1]):
                 for p in range(PROBES):
                     k = np.flatnonzero((c[:, t, p : p + 1] != c[:, t, :p]).all(axis=1)) if p else np.arange(len(which))
                     cols = [pa.array(np.full(len(k), d, np.int32)), pa.array(np.full(len(k), t, np.int32)), pa.array(c[k, t, p])]
@@ -183,15 +189,19 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float, single: bool)
         yield from groups(rest, last=True)[0]
 
 
-def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES) -> DataFrame:
-    """Per row of vectors: its id, n_links and component_id.
+def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int | None = None) -> DataFrame:
+    """Per row of vectors: its id, n_links and component_id. `tables`: in place of as many as the vectors' dimensions ask for.
 
     What moves is each distinct vector once for its class and once for each of its buckets; buckets that are cut move once more.
     """
     frugal(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e"), F.xxhash64(vector_col).alias("k1"), F.hash(vector_col).alias("k2"))
-    # a class is named by a number of its own, so that null ids and ids that several vectors share do no harm
-    classes = written(rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.any_value("e").alias("e")).withColumn("class", F.xxhash64("k1", "k2")), "classes")
+    # a class is known by 128 bits of its vector, so that null ids and ids that several vectors share do no harm
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e"), F.xxhash64(vector_col).alias("k1"), F.xxhash64(F.lit(SEED), vector_col).alias("k2"))
+    classes, n_classes = sized(rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.any_value("e").alias("e")), "classes")
+    # one half names it, or the other where several classes share the first
+    shared = classes.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1").select("k1", F.lit(True).alias("shared"))
+    shared = written(shared, "shared-names", n_classes)
+    classes = classes.join(F.broadcast(shared), "k1", "left").withColumn("class", F.when(F.col("shared"), F.col("k2")).otherwise(F.col("k1"))).drop("shared") if not shared.isEmpty() else classes.withColumn("class", F.col("k1"))
     single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
     given = classes.select("class", "n", "e")
     keys = ["dims", "table", "bucket"]
@@ -205,12 +215,11 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = whole.unionByName(cut).withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), "blocks").cast("int"))
     placed = placed.select("class", "n", "vector", "codes", *keys, "block", F.least("block", "other").cast("int").alias("low"), F.greatest("block", "other").cast("int").alias("high"))
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [*keys, "low", "high"]
-    found = placed.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(lambda b: _compared(b, threshold, single), "class long, links long, root long")
-    found = written(found, "links")
+    found = placed.repartition(*order).sortWithinPartitions(*order, "class").mapInArrow(lambda b: _compared(b, threshold, single), "class long, links long, root long")
+    found, n_found = sized(found, "links")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
-    roots = components(found.where("class <> root").select(F.col("class").alias("u"), F.col("root").alias("v")))
+    roots = stars(found.where("class <> root").select(F.col("class").alias("u"), F.col("root").alias("v")), n_found)
     named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     known = named.join(least, "root").join(links, "class", "left").select("k1", "k2", "n", F.coalesce("links", F.lit(0)).alias("links"), "component")

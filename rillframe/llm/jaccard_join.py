@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillframe.llm import words as W
-from rillframe.llm.common import bit_filter, dropped, frugal, in_filter, mixed, row_key, slices, written
-from rillframe.llm.components import components
+from rillframe.llm.common import bit_filter, dropped, frugal, in_filter, mixed, row_key, sized, slices, written
+from rillframe.llm.components import stars
 
 SHINGLE = 5
 PERCENT = 75
@@ -36,8 +36,13 @@ CHUNK_BITS = 14
 MIN_HASHES = 4
 #: Classes that share a shingle, up to which all pairs of them are compared at once.
 FEW = 256
-#: Classes in a block of a cluster.
+#: Classes in a block of a cluster, and shingles that they have together, on average.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 17
+#: A token's bit at which the level of its bucket begins, the level (about 100,000 classes) from which a token's classes are dealt over several tasks, and over how many.
+LEVEL_AT = 55
+HOT_LEVEL = 134
+HOT_TASKS = 64
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -57,9 +62,17 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _class_of(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit name of each set."""
-    return np.array([int(np.add.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D)))) & (1 << 64) - 1 for s in sets], dtype=np.uint64).astype(np.int64) if sets else np.zeros(0, np.int64)
+def names_of(sets: list[np.ndarray], taken: dict[int, set[int]], bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """For each set a 64-bit name and 64 more bits that tell sets of one name apart; sets whose name is taken go by those."""
+    name, other = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+    for i, s in enumerate(sets):
+        m = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
+        one = int(np.add.reduce(m)) & (1 << bits) - 1
+        two = int(np.add.reduce(m * (m >> np.uint64(32)))) & (1 << 64) - 1
+        name[i], other[i] = np.array([one, two], dtype=np.uint64).astype(np.int64)
+        if taken and int(other[i]) in taken.get(int(name[i]), ()):
+            name[i] = other[i]
+    return name, other
 
 
 def _sets(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -67,28 +80,67 @@ def _sets(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[n
         yield first, end, shingle_sets(raw, offsets)
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (key, id, n, class, minimum hashes) and, with a null key, a task's counts of shingles up to 255 (the chunk in id)."""
-    names = ["key", "id", "n", "class", "mins", "counts"]
+class _Counter:
+    """A task's counts of shingles by bucket, kept as a table only once there are many."""
+
+    def __init__(self) -> None:
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
+        self.table: np.ndarray | None = None
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append(_bucket(hashes))
+        self.held += len(hashes)
+        if self.held > 1 << COUNTED_BITS - 3:
+            if self.table is None:
+                self.table = np.zeros(1 << COUNTED_BITS, dtype=np.int32)
+            at, n = self._waiting()
+            self.table[at] += n
+            self.waiting, self.held = [], 0
+
+    def _waiting(self) -> tuple[np.ndarray, np.ndarray]:
+        at, n = np.unique(np.concatenate(self.waiting), return_counts=True) if self.waiting else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        return at, n.astype(np.int32)
+
+    def chunks(self) -> Iterator[tuple[int, bytes | None, bytes]]:
+        """(chunk, places, counts up to 255) of the chunks that have any; without places the counts are those of all places, where that is shorter."""
+        at, n = self._waiting()
+        if self.table is not None:
+            self.table[at] += n
+            at = np.flatnonzero(self.table).astype(np.int32)
+            n = self.table[at]
+        cuts = np.searchsorted(at, np.arange(0, (1 << COUNTED_BITS) + 1, 1 << CHUNK_BITS))
+        for chunk in np.flatnonzero(np.diff(cuts)):
+            some = slice(cuts[chunk], cuts[chunk + 1])
+            places, counts = (at[some] & (1 << CHUNK_BITS) - 1).astype(np.uint16), np.minimum(n[some], 255).astype(np.uint8)
+            if 3 * len(places) < 1 << CHUNK_BITS:
+                yield int(chunk), places.tobytes(), counts.tobytes()
+            else:
+                whole = np.zeros(1 << CHUNK_BITS, dtype=np.uint8)
+                whole[places] = counts
+                yield int(chunk), None, whole.tobytes()
+
+
+SUMMARY = "key long, id long, n long, name long, other long, mins array<long>, places binary, counts binary"
+
+
+def _summary(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of documents (key, id, n, name, other, minimum hashes) and a task's counts of shingles (the chunk in id, places and counts)."""
+    names = [f.split()[0] for f in SUMMARY.split(", ")]
     salts = mixed(np.arange(1, MIN_HASHES + 1, dtype=np.uint64))
-    counts = np.zeros(1 << COUNTED_BITS, dtype=np.int64)
-    waiting: list[np.ndarray] = []
+    counter = _Counter()
     for batch in batches:
         for first, end, sets in _sets(batch, "text"):
-            classes = _class_of(sets)
+            name, other = names_of(sets, {}, bits)
             mins = [[int(mixed(s ^ x).min()) - (1 << 63) for x in salts] if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes), pa.array(mins, pa.list_(pa.int64())), pa.nulls(len(sets), pa.binary())], names=names)
-            waiting += [_bucket(sets[i]) for i in np.unique(classes, return_index=True)[1]]
-            if sum(map(len, waiting)) > len(counts):
-                counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
-                waiting = []
-    if waiting:
-        counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
-    chunks = counts.reshape(-1, 1 << CHUNK_BITS)
-    some = np.flatnonzero(chunks.any(axis=1))
-    if len(some):
-        none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(some), none, none, pa.nulls(len(some), pa.list_(pa.int64())), pa.array([np.minimum(chunks[i], 255).astype(np.uint8).tobytes() for i in some], pa.binary())], names=names)
+            none = pa.nulls(len(sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(name), pa.array(other), pa.array(mins, pa.list_(pa.int64())), none, none], names=names)
+            for i in np.unique(name, return_index=True)[1]:
+                counter.add(sets[i])
+    got = list(counter.chunks())
+    if got:
+        none = pa.nulls(len(got), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array([g[0] for g in got], pa.int64()), none, none, none, pa.nulls(len(got), pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.binary())], names=names)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -99,14 +151,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the counts of each chunk, from rows sorted by chunk."""
     at, total = None, np.zeros(1 << CHUNK_BITS, dtype=np.int64)
     for batch in batches:
-        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for chunk, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if chunk != at and at is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "counts"])
                 total = np.zeros(1 << CHUNK_BITS, dtype=np.int64)
             at = chunk
-            total += np.frombuffer(counts, dtype=np.uint8)
+            where = slice(None) if places is None else np.frombuffer(places, dtype=np.uint16)
+            total[where] += np.frombuffer(counts, dtype=np.uint8)
     if at is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -116,18 +169,18 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.where(frequent, 1 + np.minimum(8 * np.log2(np.maximum(counts, 1)), 254), 0).astype(np.uint8)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], level: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], level: np.ndarray, taken: dict[int, set[int]], bits: int) -> Iterator[pa.RecordBatch]:
     """Rows (token, class, n): the first shingles of each set in the global order."""
     for batch in batches:
         for _, _, sets in _sets(batch, "text"):
             cols: list[list[np.ndarray]] = [[], [], []]
-            classes = _class_of(sets)
+            classes = names_of(sets, taken, bits)[0]
             for i in np.unique(classes, return_index=True)[1]:
                 n = len(sets[i])
                 if not n:
                     continue
                 # a token keeps 55 bits of its hash: two that coincide make candidates, not links
-                key = level[_bucket(sets[i])].astype(np.uint64) << np.uint64(55) | sets[i] >> np.uint64(8)
+                key = level[_bucket(sets[i])].astype(np.uint64) << np.uint64(LEVEL_AT) | sets[i] >> np.uint64(8)
                 key = np.sort(key)[: n - -(-n * PERCENT // 100) + 1]
                 cols[0].append(key)
                 cols[1].append(np.full(len(key), classes[i]))
@@ -136,8 +189,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], level: np.ndarray) -> Iterator[
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0]).astype(np.int64)), *(pa.array(np.concatenate(c)) for c in cols[1:])], names=["token", "class", "n"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and class, those whose token several classes have, each class once."""
+def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and class, those whose token several classes have or whose level is hot (such tokens lie in many tasks), each class once."""
     held: pa.RecordBatch | None = None  # the last row seen, which may begin or continue a token
     kept = False
     for batch in batches:
@@ -151,7 +204,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = same & new[1:]  # another class with the token of the row before
         # a row stays if its token has another class before or after it
         starts = np.flatnonzero(np.concatenate([[True], ~same]))
-        several = np.add.reduceat(np.concatenate([[0], other.astype(np.int64)]), starts) > 0
+        several = (np.add.reduceat(np.concatenate([[0], other.astype(np.int64)]), starts) > 0) | (token[starts] >> LEVEL_AT >= hot)
         if held is not None and kept:
             several[0] = True
         stays = new & np.repeat(several, np.diff(np.append(starts, len(token))))
@@ -169,12 +222,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = batch.slice(batch.num_rows - 1)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], taken: dict[int, set[int]], bits: int) -> Iterator[pa.RecordBatch]:
     """Rows (class, fragment, shingles as bytes) of texts."""
     for batch in batches:
         for _, _, sets in _sets(batch, "text"):
             out: list[list] = [[], [], []]
-            for s, c in zip(sets, _class_of(sets), strict=True):
+            for s, c in zip(sets, names_of(sets, taken, bits)[0], strict=True):
                 cuts = np.searchsorted(s, np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(63 - FRAGMENT_BITS))
                 for f, piece in enumerate(np.split(s, cuts)):
                     if len(piece):
@@ -185,25 +238,27 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, fragment, partial overlap)."""
+    """Rows (a, na, b, nb, fragment, partial overlap)."""
     for batch in batches:
-        left, right = batch.column(3), batch.column(4)
+        left, right = batch.column(5), batch.column(6)
         n = np.zeros(batch.num_rows, dtype=np.int64)
         for i in range(batch.num_rows):
             both = np.concatenate([np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)])
             both.sort()
             n[i] = np.count_nonzero(both[1:] == both[:-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n)], names=["a", "b", "fragment", "n"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(n)], names=["a", "na", "b", "nb", "fragment", "n"])
 
 
-def verified(pairs: DataFrame, segments: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes those that link: partial overlaps per fragment, summed per pair."""
-    one = pairs.join(segments.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("left")), "a")
+def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Of pairs (a, na, b, nb) of classes and their sizes those that link: partial overlaps per fragment, summed per pair. Segments may repeat."""
+    # both joins deal segments out alike, so that Spark moves them once
+    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit((1 << FRAGMENT_BITS) - 1))))
+    one = each.join(segments.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("left")), ["a", "fragment"])
     two = one.join(segments.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("right")), ["b", "fragment"])
-    partial = two.select("a", "b", "fragment", "left", "right").mapInArrow(_overlaps, "a long, b long, fragment int, n long")
-    whole = partial.groupBy("a", "b", "fragment").agg(F.max("n").alias("n")).groupBy("a", "b").agg(F.sum("n").alias("common"))
-    na, nb = sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), sizes.select(F.col("class").alias("b"), F.col("n").alias("nb"))
-    return whole.join(na, "a").join(nb, "b").where(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    partial = two.select("a", F.col("na").cast("long"), "b", F.col("nb").cast("long"), "fragment", "left", "right").mapInArrow(_overlaps, "a long, na long, b long, nb long, fragment int, n long")
+    counted = partial.groupBy("a", "na", "b", "nb").agg(F.collect_set(F.struct("fragment", "n")).alias("each"))
+    common = F.aggregate("each", F.lit(0).cast("long"), lambda x, s: x + s["n"])
+    return counted.where(100 * common >= PERCENT * (F.col("na") + F.col("nb") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _may_link(n: str, m: str) -> Column:
@@ -211,25 +266,28 @@ def _may_link(n: str, m: str) -> Column:
     return (100 * F.col(n) >= PERCENT * F.col(m)) & (100 * F.col(m) >= PERCENT * F.col(n))
 
 
-def _clusters(shared: DataFrame, segments: DataFrame, parts: int) -> DataFrame:
-    """Links (a, b) that join parts of clusters. shared: (token, class, root) of tokens that many classes share.
+def _clusters(shared: DataFrame, rows: int, segments: DataFrame) -> DataFrame:
+    """Links (u, v) that join parts of clusters. shared: a written table of at most so many rows (token, class, n, root) of tokens that many classes share.
 
     A cluster holds the classes that such tokens join. Its classes outside the largest part meet all of them, in pairs of blocks.
     """
-    hubs = written(shared.groupBy("token").agg(F.min("class").alias("v")), "hubs")
-    clusters = written(components(shared.join(hubs, "token").select(F.col("class").alias("u"), "v")).select(F.col("node").alias("class"), F.col("root").alias("cluster")), "clusters")
-    own = written(shared.select("class", "root").distinct().join(clusters, "class"), "cluster-members")
-    part = own.groupBy("cluster", "root").agg(F.count("*").alias("c"))
-    size = part.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("all"))
-    size = size.select("cluster", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / BLOCK).cast("int").alias("rests"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-    placed = written(own.join(size, "cluster"), "cluster-blocks")
+    hubs = shared.groupBy("token").agg(F.min("class").alias("v"))
+    joined = sized(shared.join(hubs, "token").select(F.col("class").alias("u"), "v").distinct(), "hubs", rows)
+    clusters = stars(*joined).withColumnsRenamed({"node": "class", "root": "cluster"})
+    own = shared.select("class", "n", "root").distinct().join(clusters, "class", "left").withColumn("cluster", F.coalesce("cluster", "class"))
+    own, rows = sized(own, "cluster-members", rows)
+    part = own.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    size = part.groupBy("cluster").agg(F.max(F.struct("n", "c", "root")).alias("main"), F.sum("c").alias("c"), F.sum("n").alias("n")).where("c > main.c")
+    blocks = lambda c, n: F.ceil(F.greatest(c / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    size = size.select("cluster", F.col("main.root").alias("main"), blocks(F.col("c") - F.col("main.c"), F.col("n") - F.col("main.n")).alias("rests"), blocks(F.col("c"), F.col("n")).alias("blocks"))
+    placed = written(own.join(size, "cluster"), "cluster-blocks", rows)
     block = lambda n: F.pmod(F.xxhash64("class", F.lit(3)), F.col(n)).cast("int")
     rest = placed.where("root <> main").select("class", "root", "cluster", block("rests").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
-    every = placed.where("rests > 0").select("class", "root", "cluster", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"))
+    every = placed.select("class", "root", "cluster", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), block("blocks").alias("j"), F.lit(1).alias("side"))
     sets = segments.groupBy("class").agg(F.collect_set(F.struct("fragment", "shingles")).alias("segments"))
     met = rest.unionAll(every).join(sets, "class").select("cluster", "i", "j", "side", "class", "root", "segments")
     order = ["cluster", "i", "j"]
-    return met.repartition(parts, *order).sortWithinPartitions(*order, "side", "class").mapInArrow(_blocks_met, "a long, b long")
+    return met.repartition(*order).sortWithinPartitions(*order, "side", "class").mapInArrow(_blocks_met, "u long, v long")
 
 
 def _blocks_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +344,7 @@ def _joined(rows: list[dict]) -> pa.RecordBatch:
         if x != y:
             up[x] = y
             out.append((left[i]["class"], right[j]["class"]))
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
 
 
 def _beyond(n: str) -> Column:
@@ -294,64 +352,96 @@ def _beyond(n: str) -> Column:
     return F.ceil(F.col(n) * PERCENT / 100) - 1
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class")))
+def _classes(members: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """(class, other, most, best, key, n, mins): the sets there are, with the row of the smallest id of each (null ids last)."""
+    named = members.where("n > 0").groupBy(F.col("name").alias("class"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")
+    named = named.agg(F.min("other").alias("other"), F.max("other").alias("most"), best, F.first("n").alias("n"), F.first("mins").alias("mins"))
+    return sized(named.withColumn("key", F.col("best.key")), "set-classes", most)
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64, hot_level: int = HOT_LEVEL) -> DataFrame:
     """Per row of docs: its id, n_shingles and component_id."""
+    got = groups(docs, id_col, text_col, name_bits, hot_level)
+    return got.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_bits: int = 64, hot_level: int = HOT_LEVEL) -> DataFrame:
+    """Per row of docs (key, id, n, component, first): row_key of its id and text, its id, its shingles, its component, and whether it is the row of its
+    component that has the smallest id, then the smallest key (null ids last). Rows without shingles are the first ones of their own.
+    """
     spark = frugal(docs.sparkSession)
     rows = docs.select(row_key(F.col(id_col).cast("long"), text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    summary = written(rows.mapInArrow(_summary, "key long, id long, n long, class long, mins array<long>, counts binary"), "sets")
-    members = summary.where("key is not null")
-    classes = written(members.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("mins").alias("mins")), "set-classes")
-    sizes = classes.select("class", "n")
+    summary, n_docs = sized(rows.mapInArrow(lambda b: _summary(b, name_bits), SUMMARY), "sets")
+    members = summary.where("counts is null")
+    # different sets of one name are next to impossible: the driver sees those there are
+    classes, n_classes = _classes(members, n_docs)
+    taken: dict[int, set[int]] = {}
+    twice = classes.where("other <> most")
+    if not twice.isEmpty():
+        again = members.where("n > 0").join(twice.select(F.col("class").alias("name"), F.col("other").alias("first")), "name").where("other <> first")
+        for r in again.select("name", "other").distinct().collect():
+            taken.setdefault(r["name"], set()).add(r["other"])
+        moved = F.broadcast(spark.createDataFrame([(k, o) for k, others in taken.items() for o in others], "name long, other long").withColumn("moved", F.col("other")))
+        members = members.join(moved, ["name", "other"], "left").withColumn("name", F.coalesce("moved", "name")).drop("moved")
+        classes, n_classes = _classes(members, n_docs)
+        if not classes.where("other <> most").isEmpty():
+            raise RuntimeError("two sets share 128 bits of hashes")
     # the global order
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = np.zeros((1 << COUNTED_BITS - CHUNK_BITS, 1 << CHUNK_BITS), dtype=np.int64)
-    chunks = summary.where("key is null and counts is not null").select(F.col("id").alias("chunk"), "counts")
-    for r in chunks.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk long, counts binary").collect():
-        counts[r["chunk"]] = np.frombuffer(bytes(r["counts"]), dtype=np.int64)
+    chunks = summary.where("counts is not null").select(F.col("id").alias("chunk"), "places", "counts")
+    for r in chunks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk long, counts binary").collect():
+        counts[r["chunk"]] = np.frombuffer(bytes(r["counts"]), dtype=np.uint32)
     sent = spark.sparkContext.broadcast(levels(counts.ravel()))
-    prefixes = rows.select("text").mapInArrow(lambda b: _prefixes(b, sent.value), "token long, class long, n int")
-    shared = written(prefixes.repartition(parts, "token").sortWithinPartitions("token", "class").mapInArrow(_shared, "token long, class long, n int"), "shared")
+    prefixes = rows.select("text").mapInArrow(lambda b: _prefixes(b, sent.value, taken, name_bits), "token long, class long, n int")
+    spread_out = F.when(F.shiftright("token", LEVEL_AT) >= hot_level, F.pmod("class", F.lit(HOT_TASKS))).otherwise(0)
+    prefixes = prefixes.repartition(F.col("token"), spread_out).sortWithinPartitions("token", "class")
+    shared, n_shared = sized(prefixes.mapInArrow(lambda b: _shared(b, hot_level), "token long, class long, n int"), "shared")
     # one partner for each minimum hash
-    mins = classes.select("class", "n", F.posexplode("mins").alias("i", "low"))
-    hub = mins.groupBy("i", "low").agg(F.min(F.struct("class", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("i", "low", F.col("hub.class").alias("a"), F.col("hub.n").alias("na"))
-    first = written(mins.join(hub, ["i", "low"]).where(F.col("class") != F.col("a")).where(_may_link("n", "na")).select("a", F.col("class").alias("b")).distinct(), "first-pairs")
-
-    def segments_of(needed: DataFrame) -> DataFrame:
-        """Segments of the classes named, from one text of each. A text that the filter lets through by chance gives a class's segments again."""
-        keys = needed.select("class").distinct().join(classes.select("class", "key"), "class")
-        return written(rows.where(in_filter(spark, bit_filter(keys, "key"), "key")).select("text").mapInArrow(_segments, "class long, fragment int, shingles binary"), "segments")
-
-    segments = segments_of(_ends(first))
-    links = written(verified(first, segments, sizes), "links")
+    mins = classes.select("class", "n", "key", F.posexplode("mins").alias("i", "low"))
+    hub = mins.groupBy("i", "low").agg(F.min(F.struct("class", "n", "key")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("i", "low", F.col("hub.class").alias("a"), F.col("hub.n").alias("na"), F.col("hub.key").alias("ka"))
+    first = mins.join(hub, ["i", "low"]).where(F.col("class") != F.col("a")).where(_may_link("n", "na")).select("a", "na", "ka", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("key").alias("kb"))
+    first, n_first = sized(first.distinct(), "first-pairs", MIN_HASHES * n_classes)
+
+    def segments_of(keys: DataFrame) -> DataFrame:
+        """Segments of one text of each class needed. A text that the filter lets through by chance gives a class's segments again."""
+        some = rows.where(in_filter(spark, bit_filter(keys, "key"), "key")).select("text")
+        return written(some.mapInArrow(lambda b: _segments(b, taken, name_bits), "class long, fragment int, shingles binary"), "segments")
+
+    segments = segments_of(first.select(F.explode(F.array("ka", "kb")).alias("key")))
+    roots = stars(*sized(verified(first.drop("ka", "kb"), segments), "links", n_first << FRAGMENT_BITS))
     dropped(spark, segments)
-    roots = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "class"), "roots")
-    now = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    now = shared.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     spread = now.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "size")
-    now = written(now.join(spread, "token"), "open")
+    now, n_open = sized(now.join(spread, "token"), "open", n_shared)
     dropped(spark, shared)
-    few = now.where(F.col("size") <= FEW)
-    other = few.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    apart = (few["token"] == other["token"]) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))
-    met = few.withColumnRenamed("class", "a").join(other, apart & _may_link("n", "m"))
-    met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    few, many = now.where(F.col("size") <= FEW), now.where(F.col("size") > FEW)
+    crowded = not many.isEmpty()
+    one, other = (few.select(F.col("token").alias(f"token_{x}"), F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
+    apart = (F.col("token_a") == F.col("token_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    met = one.join(other, apart & _may_link("na", "nb"))
+    met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     # what the first shingles have in common, counted, leaves too little for most pairs: beyond them one of the two has n - prefix(n) shingles
-    unlisted = now.where(F.col("size") > FEW).groupBy("class").agg(F.count("*").alias("u"))
-    met = met.join(unlisted.withColumnsRenamed({"class": "a", "u": "ua"}), "a", "left").join(unlisted.withColumnsRenamed({"class": "b", "u": "ub"}), "b", "left")
-    most = F.col("c") + F.least(F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0))) + F.greatest(_beyond("n"), _beyond("m"))
-    pairs = met.where((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))).select("a", "b")
-    pairs = written(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    many = now.where(F.col("size") > FEW)
-    segments = segments_of(_ends(pairs).unionAll(many.select("class")))
-    links = links.unionAll(written(verified(pairs, segments, sizes), "links")).unionAll(written(_clusters(many, segments, parts), "links"))
+    most = F.col("c") + F.greatest(_beyond("na"), _beyond("nb"))
+    if crowded:
+        unlisted = written(many.groupBy("class").agg(F.count("*").alias("u")), "unlisted", n_open)
+        met = met.join(unlisted.withColumnsRenamed({"class": "a", "u": "ua"}), "a", "left").join(unlisted.withColumnsRenamed({"class": "b", "u": "ub"}), "b", "left")
+        most = most + F.least(F.coalesce("ua", F.lit(0)), F.coalesce("ub", F.lit(0)))
+    pairs, n_pairs = sized(met.where((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "na", "b", "nb"), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    if crowded:
+        needed = needed.unionAll(many.select("class"))
+    segments = segments_of(classes.select("class", "key").join(needed, "class", "left_semi"))
+    links, n_links = sized(verified(pairs, segments), "links", n_pairs << FRAGMENT_BITS)
+    if crowded:
+        more, n_more = sized(_clusters(many, n_open, segments), "links")
+        links, n_links = links.unionAll(more), n_links + n_more
+    if n_links:
+        roots = stars(links.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), n_links + n_classes)
     dropped(spark, segments, now)
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "class")
-    named = classes.select("class", "least").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    known = named.join(least, "root").select("class", "component")
-    out = members.join(known, "class", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
-
+    named = classes.select("class", "best").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = named.groupBy("root").agg(F.min("best").alias("best"))
+    known = named.select(F.col("class").alias("name"), "root").join(least, "root").select("name", "best")
+    out = members.where("n > 0").select("key", "id", "n", "name").join(known, "name", "left")
+    out = out.select("key", "id", "n", F.col("best.id").alias("component"), (F.col("key") == F.col("best.key")).alias("first"))
+    return out.unionAll(members.where("n = 0").select("key", "id", "n", F.col("id").alias("component"), F.lit(True).alias("first")))
