@@ -7,7 +7,7 @@ are farther from every centroid, so each length (in powers of two of n-grams) ha
 the texts is held against centroids of the other half. A text without letters has language `und`.
 
 Document frequencies are counted over all training rows. The centroids are fitted on at most about `per_language` rows of each
-language, chosen by a hash of the row's id.
+language, chosen by a hash of the row's id and text.
 
 Null texts, and texts without letters, give `und`, score 0 and rejected. Rows with a null language or a null id are not learned
 from. With nothing to learn from every text is `und`. Repeated rows give repeated results; ties go to the first language by name.
@@ -30,11 +30,14 @@ from rillframe.llm.common import code_points, frugal, slices
 
 #: Number of hashed n-gram features.
 DIMS = 8192
-#: Texts whose dense vectors are made at a time.
-AT_ONCE = 256
+#: Texts whose dense vectors are made at a time, and bytes of text: what a worker holds besides a batch is some 30 times as much.
+AT_ONCE = 64
+BYTES_AT_ONCE = 1 << 19
 #: Training rows of each language that centroids are fitted on, about.
 PER_LANGUAGE = 400
 CENTROIDS = 4
+#: A table that names more languages is refused: every one of them has centroids in the model.
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 #: Share of a language's training texts that may lie beyond its radius.
 BEYOND = 0.01
@@ -83,7 +86,7 @@ def _counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, end row, n-gram counts) over a batch."""
-    for first, end, raw, offsets in slices(batch, column):
+    for first, end, raw, offsets in slices(batch, column, BYTES_AT_ONCE):
         for at in range(0, end - first, AT_ONCE):
             part = offsets[at : min(at + AT_ONCE, end - first) + 1]
             yield first + at, first + at + len(part) - 1, _counts(raw[part[0] : part[-1]], part - part[0])
@@ -157,7 +160,9 @@ def fit(
     """Learns from the rows where `learn` holds and the language isn't null."""
     frugal(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros((0, LENGTHS)))
 
@@ -180,12 +185,12 @@ def fit(
                 at = [np.flatnonzero(r).astype(np.int16) for r in x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(counts.sum(axis=1).astype(np.int64)), pa.array([a.tobytes() for a in at]), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)])], names=["id", "lang", "part", "grams", "at", "x"])
 
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, per_language / n)) for k, n in sorted(sizes.items())])
+    # by id and text, and each such pair once: neither one id on many rows nor a row that is repeated often makes the sample large
+    share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, per_language / n))]), F.col("lang"))
     kind = rows.schema["id"].dataType.simpleString()
-    bound = 2 * per_language * len(sizes) + 100
     parts = F.array(F.struct(F.lit(0).alias("part"), F.col("text").alias("text")), *[F.struct(F.lit(n).alias("part"), F.when(F.length("text") > n, F.substring("text", 1, n)).alias("text")) for n in BEGINNINGS])
-    some = rows.where(share < rate).select("id", "lang", "text").limit(bound).select("id", "lang", F.xxhash64("text").alias("_text"), F.explode(parts).alias("p"))
+    some = rows.where(share < rate).select("id", "lang", "text").distinct().select("id", "lang", F.xxhash64("text").alias("_text"), F.explode(parts).alias("p"))
     cut = some.where("p.text is not null").select("id", "lang", F.struct("_text", "p.part").alias("part"), "p.text")
     got = cut.mapInArrow(sampled, f"id {kind}, lang string, part struct<_text: long, part: int>, grams long, at binary, x binary").collect()
     got = sorted((r for r in got if r["grams"]), key=lambda r: (r["lang"], r["id"], r["part"]["_text"], r["part"]["part"]))
@@ -220,6 +225,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(out)], names=["lang", "score", "rejected"])
 
     kept = docs.drop("lang_pred", "lang_score", "lang_rejected")
-    own = F.struct(*kept.columns).alias("doc")
-    got = kept.select(own, nearest(F.col(text_col)).alias("near"))
+    own = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("doc")
+    got = kept.select(own, nearest(F.col(f"`{text_col}`")).alias("near"))
     return got.select("doc.*", F.col("near.lang").alias("lang_pred"), F.col("near.score").alias("lang_score"), F.col("near.rejected").alias("lang_rejected"))
