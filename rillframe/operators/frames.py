@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rillframe.functions.timeline import by_stream
 
+#: Ticks of one gap that are spread at a time.
+CHUNK = 10_000
+
 
 def force_keyframe(frames: DataFrame, interval_us: int) -> DataFrame:
     """Marks a frame as key (picture type I) where the interval's number changes; frames without a time are left alone."""
@@ -16,29 +19,34 @@ def force_keyframe(frames: DataFrame, interval_us: int) -> DataFrame:
     return timed.withColumn("forced", key).withColumn("picture_type", F.when(F.col("bucket").isNull(), F.lit(None)).when(key, "I").otherwise("NONE"))
 
 
-def team_shift(frames: DataFrame, timecode_us: Column, before: str = "drop", team: str | None = None) -> DataFrame:
-    """Times moved by the latest timecode's distance from its frame's time, over all streams of a team in order of seq.
+def team_shift(frames: DataFrame, timecode_us: Column, team: str, before: str = "drop") -> DataFrame:
+    """Times moved by the latest timecode's distance from its frame's time, over all streams of a team in order of seq. `team` names a column.
 
-    before: what becomes of frames that come before any timecode: "drop" or "pass".
+    before: what becomes of frames that come before any timecode: "drop" or "pass"; "block" holds them until one comes, and they leave with its shift.
     """
-    keys = [team] if team else [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = frames.withColumn("shift_us", F.last(timecode_us - F.col("pts_us"), ignorenulls=True).over(w))
-    out = out.where("shift_us is not null") if before == "drop" else out
+    w = Window.partitionBy(team).orderBy("seq")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = frames.withColumn("shift_us", F.last(timecode_us - F.col("pts_us"), ignorenulls=True).over(so_far))
+    if before == "block":
+        first = F.first(timecode_us - F.col("pts_us"), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        out = out.withColumn("shift_us", F.coalesce("shift_us", first))
+    out = out.where("shift_us is not null") if before != "pass" else out
     return out.withColumn("shifted_pts_us", F.col("pts_us") + F.coalesce("shift_us", F.lit(0)))
 
 
 def fps_grid(frames: DataFrame, step_us: int) -> DataFrame:
     """A fixed rate without resynchronising: tick k shows the last frame at or before the first one's time plus k steps.
 
-    A frame fills the ticks from its own time up to the next frame's, so that there is no join.
+    A frame fills the ticks from its own time up to the next frame's, so that there is no join. A long gap is spread in chunks of ticks.
     """
     w = by_stream()
     first = F.first("pts_us").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     kept = frames.where("pts_us is not null").withColumn("_t0", first).withColumn("_next", F.lead("pts_us").over(w))
     low = F.expr(f"(pts_us - _t0 + {step_us - 1}) div {step_us}")
     high = F.when(F.col("_next").isNull(), low).otherwise(F.expr(f"(_next - _t0 + {step_us - 1}) div {step_us} - 1"))
-    spread = kept.withColumn("_low", low).withColumn("_high", high).where("_high >= _low").withColumn("tick", F.explode(F.sequence("_low", "_high")))
+    spread = kept.withColumn("_low", low).withColumn("_high", high).where("_high >= _low")
+    chunk = F.explode(F.sequence(F.expr(f"_low div {CHUNK}"), F.expr(f"_high div {CHUNK}")))
+    spread = spread.withColumn("_chunk", chunk).withColumn("tick", F.explode(F.sequence(F.greatest("_low", F.col("_chunk") * CHUNK), F.least("_high", F.col("_chunk") * CHUNK + (CHUNK - 1)))))
     return spread.select("stream_id", "tick", (F.col("_t0") + F.col("tick") * step_us).alias("tick_us"), "seq")
 
 

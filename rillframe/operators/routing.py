@@ -19,23 +19,41 @@ def firewall(items: DataFrame) -> DataFrame:
     return items.where(F.col("pts_us").isNotNull())
 
 
+#: A source with more streams than this isn't one recording; streams are listed on the driver.
+MOST_STREAMS = 10_000
+
+
+def streams_of(packets: DataFrame) -> list[tuple[str, str]]:
+    """(stream, media) of a source in index order: by its column stream_index if it has one, else by name."""
+    index = F.min("stream_index") if "stream_index" in packets.columns else F.lit(0)
+    rows = packets.groupBy("stream_id", "media").agg(index.alias("i")).orderBy("i", "stream_id").limit(MOST_STREAMS + 1).collect()
+    if len(rows) > MOST_STREAMS:
+        raise ValueError(f"more than {MOST_STREAMS} streams")
+    return [(r["stream_id"], r["media"]) for r in rows]
+
+
+def matching(streams: list[tuple[str, str]], spec: str) -> list[str]:
+    """Streams that a specifier names: `v`, `a` or `d`, all of that media or with `:n` the n-th, or a plain index."""
+    m = re.fullmatch(r"(?:([vadVAD])(?::(\d+))?|(\d+))", spec)
+    if not m:
+        raise ValueError(f"bad stream specifier {spec!r}")
+    names = [s[0] for s in streams if m[3] or s[1].lower() == m[1].lower()]
+    number = m[3] or m[2]
+    return names if number is None else names[int(number) : int(number) + 1]
+
+
 def resolve_routes(streams: list[tuple[str, str]], routing: dict[str, str]) -> dict[str, str]:
-    """stream -> queue for specifiers `v`, `a` or `d` with an optional `:n`, or a plain index; `?` allows the stream to be missing."""
+    """stream -> queue for specifiers as in matching(), the first stream of each; `?` before one allows it to be missing."""
     out: dict[str, str] = {}
     for spec, queue in routing.items():
-        m = re.fullmatch(r"(\?)?(?:([vadVAD])(?::(\d+))?|(\d+))", spec)
-        if not m:
-            raise ValueError(f"bad stream specifier {spec!r}")
-        of_kind = streams if m[4] else [s for s in streams if s[1].lower() == m[2].lower()]
-        number = int(m[4] or m[3] or 0)
-        if number >= len(of_kind):
-            if m[1]:
+        names = matching(streams, spec.removeprefix("?"))
+        if not names:
+            if spec.startswith("?"):
                 continue
             raise ValueError(f"no stream for {spec!r}")
-        name = of_kind[number][0]
-        if name in out:
-            raise ValueError(f"stream {name!r} is routed twice")
-        out[name] = queue
+        if names[0] in out:
+            raise ValueError(f"stream {names[0]!r} is routed twice")
+        out[names[0]] = queue
     return out
 
 
@@ -93,6 +111,15 @@ def runs(items: DataFrame, failed: Column) -> DataFrame:
     return marked.where("failed").groupBy("stream_id", "island").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n")).drop("island")
 
 
+def until_failures(items: DataFrame, failed: Column, most: int) -> DataFrame:
+    """Items of each stream that didn't fail, up to the one that makes it more than `most` failures on end."""
+    w = by_stream().rowsBetween(Window.unboundedPreceding, 0)
+    marked = items.withColumn("_failed", F.coalesce(failed, F.lit(False))).withColumn("_good", F.sum((~F.col("_failed")).cast("long")).over(w))
+    run = F.sum(F.col("_failed").cast("long")).over(Window.partitionBy("stream_id", "_good").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    over = F.max((F.col("_run") > most).cast("int")).over(w)
+    return marked.withColumn("_run", run).withColumn("_over", over).where("_over = 0 and not _failed").drop("_failed", "_good", "_run", "_over")
+
+
 def choose_codec(packets: DataFrame, codec: Column, codec_map: dict[str, str], default: str) -> DataFrame:
     """The decoder for each packet: from the map, else the default."""
     chosen = F.coalesce(*[F.when(codec == k, v) for k, v in codec_map.items()], F.lit(default))

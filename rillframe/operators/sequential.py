@@ -1,14 +1,18 @@
 """Operators whose every decision depends on the one before: small models, one per stream, that batch and streaming share.
 
-A model takes one item at a time (`push`) and returns rows. In batch, each stream is one group, sorted by seq; Spark spreads the streams.
+A model takes one item at a time (`push`) and returns rows. In batch, Spark deals streams to tasks and sorts each by seq; a task holds one model and one
+batch of rows at a time, however long a stream is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import islice
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 Row = tuple
@@ -56,60 +60,95 @@ class ForceFps:
 
 
 class Realtime:
-    """What replay against the wall clock does with each item: wait, emit, drop, or resynchronise."""
+    """What replay against the wall clock does with each item: wait, emit, drop, or resynchronise.
 
-    fields = "seq long, action string, offset_us long"
+    An offset ties times to the clock. It is set with the initial margin at the start and after a discontinuity, else with the usual one. The members of a
+    team share the least offset; a discontinuity of a master resets it. `speed` scales times.
+    """
+
+    fields = "seq long, action string, offset_us long, stream string"
 
-    def __init__(self, tolerance_us: int = 250_000, discard_us: int | None = None, discontinuity_us: int = 1_000_000, margin_us: int = 0):
+    def __init__(self, tolerance_us: int = 250_000, discard_us: int | None = None, discontinuity_us: int = 1_000_000, margin_us: int = 0, initial_margin_us: int | None = None, masters: tuple[str, ...] = (), speed: float = 1.0):
         self.tolerance, self.limit, self.margin = tolerance_us, discontinuity_us, margin_us
+        self.initial = margin_us if initial_margin_us is None else initial_margin_us
         self.discard = tolerance_us if discard_us is None else discard_us
+        self.masters, self.speed = masters, speed
         self.offset: int | None = None
+        self.fresh: dict[str, bool] = {}
 
-    def push(self, seq: int, ts: int | None, arrival: int | None = None) -> list[Row]:
+    def push(self, seq: int, ts: int | None, arrival: int | None = None, stream: str = "") -> list[Row]:
         if ts is None:
-            return [(seq, "emit", self.offset)]
+            return [(seq, "emit", self.offset, stream)]
+        ts = round(ts / self.speed) if self.speed != 1 else ts
         ahead = None if self.offset is None else ts - self.offset - arrival
         if ahead is None or ahead < -self.tolerance:
             action = "resync"
         elif ahead < -self.discard:
-            return [(seq, "drop", self.offset)]
+            return [(seq, "drop", self.offset, stream)]
         elif ahead < self.limit:
-            return [(seq, "wait" if ahead > 0 else "emit", self.offset)]
+            return [(seq, "wait" if ahead > 0 else "emit", self.offset, stream)]
         else:
             action = "discontinuity"
-        self.offset = ts - arrival - self.margin
-        return [(seq, action, self.offset)]
+            self.fresh[stream] = True
+            if stream in self.masters:
+                self.offset = None
+        own = ts - arrival - (self.initial if self.fresh.get(stream, True) else self.margin)
+        self.fresh[stream] = False
+        self.offset = own if self.offset is None or not self.masters else min(self.offset, own)
+        return [(seq, action, self.offset, stream)]
 
 
-class RealtimeFlush:
-    """Drops items while more time is buffered than allowed, until little is left: buffered is how far times run ahead of arrivals."""
+class SyncBuffer:
+    """Holds each stream's items until they span the fill time, then lets each go when the shared offset says so; 250 ms late or a second early sets the offset anew.
 
-    fields = "seq long, dropped boolean"
-
-    def __init__(self, most_us: int, least_us: int):
-        self.most, self.least, self.base, self.flushing = most_us, least_us, None, False
+    Rows say when an item leaves: at a time of the clock, or with the flush at the end ("flush", no time). Items without a time go. Arrivals of a group share
+    one clock and never step back.
+    """
 
-    def push(self, seq: int, ts: int | None, arrival: int | None = None) -> list[Row]:
-        if ts is None:
-            return [(seq, self.flushing)]
-        lag = arrival - ts
-        self.base = lag if self.base is None else min(self.base, lag)
-        buffered = lag - self.base
-        if buffered > self.most:
-            self.flushing = True
-        elif buffered <= self.least:
-            self.flushing = False
-        return [(seq, self.flushing)]
+    fields = "seq long, action string, out_us long, stream string"
 
+    def __init__(self, fill_us: int = 200_000, late_us: int = 250_000, early_us: int = 1_000_000):
+        self.fill, self.late, self.early = fill_us, late_us, early_us
+        self.offset: int | None = None
+        self.held: dict[str, deque] = {}
+        self.open: dict[str, bool] = {}
 
-class SyncBuffer(Realtime):
-    """The same with fixed limits; items without a time go."""
+    def _leave(self, stream: str, now: int) -> list[Row]:
+        """What leaves a stream's buffer up to now, at the times it is due."""
+        out: list[Row] = []
+        held = self.held[stream]
+        while held and self.open[stream]:
+            seq, ts, since = held[0]
+            due = None if self.offset is None else ts - self.offset
+            at = since if not out else max(since, out[-1][2])
+            if due is None or due - at < -self.late or due - at >= self.early:
+                self.offset, action = ts - at, "resync"
+            elif due <= at:
+                action = "emit"
+            elif due <= now:
+                action, at = "wait", due
+            else:
+                break
+            out.append((seq, action, at, stream))
+            held.popleft()
+        if not held:
+            self.open[stream] = False
+        return out
 
-    def __init__(self):
-        super().__init__(tolerance_us=250_000, discontinuity_us=1_000_000)
+    def push(self, seq: int, ts: int | None, arrival: int | None = None, stream: str = "") -> list[Row]:
+        if ts is None:
+            return []
+        held = self.held.setdefault(stream, deque())
+        out = self._leave(stream, arrival) if self.open.setdefault(stream, False) else []
+        held.append((seq, ts, arrival))
+        if not self.open[stream] and ts - held[0][1] >= self.fill and len(held) > 1:
+            self.open[stream] = True
+            for i, (n, t, _) in enumerate(held):
+                held[i] = (n, t, arrival)
+        return out + (self._leave(stream, arrival) if self.open[stream] else [])
 
-    def push(self, seq: int, ts: int | None, arrival: int | None = None) -> list[Row]:
-        return [] if ts is None else super().push(seq, ts, arrival)
+    def end(self) -> list[Row]:
+        return [(n, "flush", None, stream) for stream, held in sorted(self.held.items()) for n, _, _ in held]
 
 
 class GlobalShift:
@@ -140,82 +179,174 @@ class GlobalShift:
         return [(seq, out, self.shift, None if pts is None else max(pts, out), stream)]
 
 
-class Stall:
-    """A sentinel's view of arrivals: after a pause of more than the timeout, backup frames of one duration fill it, at most five a wake-up; they repeat
-    the last frame up to the freeze time and show the slate after it."""
+class Sentinel:
+    """Continuous output times of streams that share a clock and a shift; what is missing is filled with backup frames.
 
-    fields = "seq long, out_us long, card string"
+    The clock shows the latest live output; after `idle` without one it runs with the wall clock. A stream that meets a jump takes over the shared shift if that
+    heals it. A step back joins on. A step ahead is filled with at most five backup frames if this stream or another one of the group jumped within `recent`, but not
+    straight after a fill; else it joins on too. While nothing arrives for longer than the timeout, wake-ups fill a stream up to the clock, at most five frames
+    each. A backup frame repeats the last live one until `freeze` has passed since that, then the slate is shown.
 
-    def __init__(self, duration_us: int, timeout_us: int = 1_000_000, freeze_us: int = 5_000_000, start_us: int = 10_000_000):
-        self.d, self.timeout, self.freeze = duration_us, timeout_us, freeze_us
-        self.next, self.arrival, self.real = start_us, None, start_us
+    Rows are frames: live ones with their seq, backup ones with the seq of the frame before.
+    """
 
-    def push(self, seq: int, ts: int | None, arrival: int | None = None) -> list[Row]:
-        out: list[Row] = []
-        if self.arrival is not None and arrival - self.arrival > self.timeout:
-            for _ in range(min(5, int((arrival - self.arrival) // self.d))):
-                out.append((seq, self.next, "freeze" if self.next - self.real < self.freeze else "slate"))
-                self.next += self.d
-        out.append((seq, self.next, "live"))
-        self.real, self.arrival = self.next, arrival
-        self.next += self.d
-        return out
+    fields = "seq long, out_us long, card string, shift_us long, stream string"
+    most = 5
+
+    def __init__(self, duration_us: int, tolerance_us: int = 1000, timeout_us: int = 1_000_000, freeze_us: int = 5_000_000, start_us: int = 10_000_000, wake_us: int = 22_000, idle_us: int = 2_000_000, recent_us: int = 2_000_000, lock: bool = False):
+        self.d, self.tolerance, self.timeout, self.freeze = duration_us, tolerance_us, timeout_us, freeze_us
+        self.wake, self.idle, self.recent, self.lock = wake_us, idle_us, recent_us, lock
+        self.start, self.clock, self.set_at = start_us, start_us, None
+        self.shift: int | None = None
+        self.jumped: int | None = None
+        self.streams: dict[str, _Guarded] = {}
+
+    def _now(self, wall: int) -> int:
+        if self.set_at is None:
+            self.set_at = wall
+        return self.clock if wall - self.set_at < self.idle else self.clock + wall - self.set_at
+
+    def _live(self, out: int, wall: int) -> None:
+        if self.set_at is None or out > self.clock:
+            self.clock, self.set_at = out, wall
+
+    def _backup(self, name: str, own: _Guarded) -> Row:
+        frozen = own.real is not None and own.next - own.real < self.freeze
+        row = (own.seq, own.next, "freeze" if frozen else "slate", own.shift, name)
+        own.next += self.d
+        return row
+
+    def _stalled(self, name: str, own: _Guarded, until: int) -> Iterator[Row]:
+        """Backup frames of wake-ups before `until`; wake-ups at which nothing is due are skipped at once."""
+        at, first = own.woken, own.live
+        while at < until:
+            now = self._now(at)
+            if now > own.next and (not first or now - own.next > self.timeout):
+                for _ in range(self.most):
+                    if own.next >= now:
+                        break
+                    yield self._backup(name, own)
+                at += self.wake
+            else:
+                runs_from = self.set_at + self.idle
+                due = max(runs_from, self.set_at + own.next - self.clock + 1)
+                at += self.wake * max(1, -(-(due - at) // self.wake))
+            first = own.live = False
+        own.woken = at
+
+    def push(self, seq: int, ts: int | None, arrival: int | None = None, stream: str = "") -> Iterator[Row]:
+        """Frames one by one: a long pause has many."""
+        for name, other in self.streams.items():
+            yield from self._stalled(name, other, arrival)
+        if ts is None:
+            return
+        own = self.streams.get(stream)
+        if self.shift is None:
+            self.shift = self._now(arrival) - ts
+        if own is None:
+            own = self.streams[stream] = _Guarded(self.start, self.shift)
+        apart = abs(own.shift - self.shift) > self.tolerance
+        before = abs(ts + own.shift - own.next) >= self.tolerance
+        if before:
+            self.jumped = self._now(arrival)
+        if apart:
+            own.shift = self.shift
+        when = ts + own.shift
+        if abs(when - own.next) >= self.tolerance:
+            if not before:
+                self.jumped = self._now(arrival)
+            if when > own.next and not own.filled and (before or self.jumped is not None and self._now(arrival) - self.jumped < self.recent):
+                for _ in range(self.most):
+                    if own.next >= when:
+                        break
+                    yield self._backup(stream, own)
+                own.filled = True
+            elif when > own.next:
+                own.filled = False
+            own.shift, when = own.next - ts, own.next
+            if not self.lock:
+                self.shift = own.shift
+        elif apart and not self.lock:
+            self.shift = own.shift
+        self._live(when, arrival)
+        own.seq, own.real, own.next, own.live, own.woken = seq, when, when + self.d, True, arrival + self.timeout
+        yield seq, when, "live", own.shift, stream
+
+
+class SyncPairs:
+    """Distance of audio from video: the latest trigger of either is kept until both are there and close enough, then both are forgotten."""
+
+    fields = "video_seq long, audio_seq long, offset_us long"
+
+    def __init__(self, video: str, within_us: int = 500_000):
+        self.video, self.within = video, within_us
+        self.seen: dict[bool, tuple[int, int]] = {}
 
+    def push(self, seq: int, ts: int | None, arrival: int | None = None, stream: str = "") -> list[Row]:
+        if ts is None:
+            return []
+        self.seen[stream == self.video] = (seq, ts)
+        if len(self.seen) < 2 or abs(self.seen[False][1] - self.seen[True][1]) > self.within:
+            return []
+        (v, at), (a, sound) = self.seen[True], self.seen[False]
+        self.seen = {}
+        return [(v, a, sound - at)]
 
-class SentinelGroup:
-    """Continuous output times of several streams that share a shift: the stream that meets a jump first sets it, the others take it over when they jump too.
 
-    A step back joins on. A step ahead is filled with at most five backup frames, but for every second one of a stream.
-    """
+@dataclass
+class _Guarded:
+    """A stream under a sentinel: its next time, its shift, the last live frame and its time, the next wake-up, and whether the last jump ahead was filled."""
 
-    fields = "seq long, out_us long, fills long, shift_us long"
+    next: int
+    shift: int
+    seq: int | None = None
+    real: int | None = None
+    woken: int = 0
+    live: bool = True
+    filled: bool = False
 
-    def __init__(self, duration_us: int, tolerance_us: int = 1000, start_us: int = 10_000_000, lock: bool = False):
-        self.d, self.tolerance, self.lock = duration_us, tolerance_us, lock
-        self.clock, self.shift = start_us, None
-        self.streams: dict[str, list] = {}
 
-    def push(self, seq: int, ts: int | None, arrival: int | None = None, stream: str = "") -> list[Row]:
-        if ts is None:
-            return []
-        if self.shift is None:
-            self.shift = self.clock - ts
-        own = self.streams.setdefault(stream, [self.shift, None, False])  # shift, next time, whether the last step ahead was filled
-        out, fills = ts + own[0], 0
-        if own[1] is not None and abs(out - own[1]) >= self.tolerance:
-            if own[0] != self.shift and abs(ts + self.shift - own[1]) < abs(out - own[1]):
-                own[0] = self.shift
-                out = ts + self.shift
-            if abs(out - own[1]) >= self.tolerance:
-                if out > own[1]:
-                    own[2] = not own[2]
-                    fills = min(5, -(-(out - own[1]) // self.d)) if own[2] else 0
-                out = own[1] + fills * self.d
-                own[0] = out - ts
-                if not self.lock:
-                    self.shift = own[0]
-        own[1] = out + self.d
-        self.clock = max(self.clock, out)
-        return [(seq, out, fills, own[0])]
+#: Rows that a task puts out at a time: an item may give many.
+ROWS_OUT = 20_000
+ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}
 
 
 def replay(items: DataFrame, model: Callable[[], Any], ts: str = "pts_us", arrival: str = "arrival_us", key: str = "stream_id", member: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (key, the model's fields) from each stream's items in order of seq. One stream is one group.
+    """Rows (key, the model's fields) from each stream's items in order of seq.
 
-    With `member`, streams that share a key form one group, and the model is told each item's stream. With `order`, items come in order of these columns, then of seq.
+    With `member`, streams that share a key form one group, and the model is told each item's stream. With `order`, items come in order of these columns, then of
+    seq. A model with an `end` adds its rows when its stream is over.
     """
     kind = items.schema[key].dataType.simpleString()
     fields = model().fields
-    names = [f.strip().split(" ")[0] for f in fields.split(",")]
-
-    def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        m = model()
-        rows: list[Row] = []
-        frame = frame.sort_values([*order, "seq"] if order else "seq", kind="stable")
-        more = [(x,) for x in frame["member"].tolist()] if member else [()] * len(frame)
-        for seq, t, a, x in zip(frame["seq"].tolist(), frame["ts"].astype("Int64").tolist(), frame["arrival"].astype("Int64").tolist(), more, strict=True):
-            rows += m.push(seq, None if t is pd.NA else t, None if a is pd.NA else a, *x)
-        return pd.DataFrame([(keys[0], *r) for r in rows], columns=[key, *names])
-
-    given = items.selectExpr(key, "seq", f"{ts} as ts", f"{arrival} as arrival", *([f"cast({member} as string) as member"] if member else []), *order)
-    return given.groupBy(key).applyInPandas(run, f"{key} {kind}, {fields}")
+    names, types = zip(*[f.strip().split(" ") for f in fields.split(",")], strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = of = None
+        kind_of_key: pa.DataType | None = None
+
+        def made(keys: list, rows: list[Row]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind_of_key), *[pa.array(c, ARROW[t]) for c, t in zip(cols, types, strict=True)]], names=[key, *names])
+
+        def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[Any, Row]]:
+            nonlocal m, of
+            for k, seq, t, a, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if m is None or k != of:
+                    if hasattr(m, "end"):
+                        yield from ((of, r) for r in m.end())
+                    m, of = model(), k
+                yield from ((of, r) for r in m.push(seq, t, a, *more))
+
+        for batch in batches:
+            kind_of_key = batch.schema.field(0).type
+            keyed = rows_of(batch)
+            while some := list(islice(keyed, ROWS_OUT)):
+                yield made([k for k, _ in some], [r for _, r in some])
+        if hasattr(m, "end") and (rows := m.end()):
+            yield made([of] * len(rows), rows)
+
+    quoted = [f"`{key}` as `_key`", "seq", f"{ts} as ts", f"{arrival} as arrival", *([f"cast({member} as string) as member"] if member else [])]
+    given = items.selectExpr(*quoted, *[f"`{o}` as `_order{i}`" for i, o in enumerate(order)])
+    sorted_ = given.repartition("_key").sortWithinPartitions("_key", *[f"_order{i}" for i in range(len(order))], "seq")
+    return sorted_.select("_key", "seq", "ts", "arrival", *(["member"] if member else [])).mapInArrow(run, f"`{key}` {kind}, {fields}")

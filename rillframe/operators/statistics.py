@@ -14,12 +14,11 @@ from rillframe.operators.routing import sessions
 
 
 def history(packets: DataFrame, max_age_us: int, limit_us: int, ts: str = "dts_us") -> DataFrame:
-    """Per packet: frame_num, kbitrate, fps, speed and duration over the history that it closes."""
+    """Per packet: frame_num, kbitrate, fps and duration over the history that it closes."""
     by = sessions(packets.where(F.col(ts).isNotNull()), ts, limit_us)
     w = Window.partitionBy("stream_id", "session").orderBy(ts).rangeBetween(-max_age_us, 0)
     first = lambda c: F.min_by(c, "seq").over(w)
     span = F.col(ts) - F.min(ts).over(w)
-    wall = F.col("arrival_us") - first("arrival_us")
     n = F.count("*").over(w)
     return by.select(
         "stream_id",
@@ -27,11 +26,63 @@ def history(packets: DataFrame, max_age_us: int, limit_us: int, ts: str = "dts_u
         F.count("*").over(by_stream().rowsBetween(Window.unboundedPreceding, 0)).alias("frame_num"),
         F.try_divide((F.sum("size").over(w) - first("size")) * F.lit(8e6), span * F.lit(1024.0)).alias("kbitrate"),
         F.when(span > 0, (n - 1) * F.lit(1e6) / span).otherwise(0.0).alias("fps"),
-        F.try_divide(span.cast("double"), wall).alias("speed"),
         span.alias("duration_us"),
     )
 
 
+def speed(packets: DataFrame, max_age_us: int, limit_us: int, ts: str = "dts_us") -> DataFrame:
+    """Per packet: decoding time over wall time of the history, which here reaches back by the wall clock."""
+    by = sessions(packets.where(F.col(ts).isNotNull()), ts, limit_us)
+    w = Window.partitionBy("stream_id", "session").orderBy("arrival_us").rangeBetween(-max_age_us, 0)
+    media = F.max_by(ts, F.struct("arrival_us", "seq")).over(w) - F.min_by(ts, F.struct("arrival_us", "seq")).over(w)
+    return by.select("stream_id", "seq", F.try_divide(media.cast("double"), F.col("arrival_us") - F.min("arrival_us").over(w)).alias("speed"))
+
+
+def since_report(packets: DataFrame, interval_us: int, limit_us: int, ts: str = "dts_us") -> DataFrame:
+    """Bit rate, rate and duration where a history has no age: all packets of a session since the last report, then none."""
+    by = sessions(packets.where(F.col(ts).isNotNull()), ts, limit_us)
+    g = by.groupBy("stream_id", F.expr(f"arrival_us div {interval_us}").alias("report"), "session").agg(
+        F.count("*").alias("n"), (F.sum("size") - F.min_by("size", "seq")).alias("bytes"), (F.max(ts) - F.min(ts)).alias("duration_us")
+    )
+    rate = F.when(F.col("duration_us") > 0, (F.col("n") - 1) * F.lit(1e6) / F.col("duration_us")).otherwise(0.0)
+    return g.select("stream_id", "report", "session", "duration_us", F.try_divide(F.col("bytes") * F.lit(8e6), F.col("duration_us") * F.lit(1024.0)).alias("kbitrate"), rate.alias("fps"))
+
+
+def stream_info(frames: DataFrame, streams: DataFrame) -> DataFrame:
+    """Per stream what its descriptor says (index, codec, type, field order, frame rate as num/den) and what its latest frame has.
+
+    frames: stream_id, seq, width, height, pix_fmt, sample_rate, channel_layout, null where they don't apply. A stream without frames has nulls.
+    """
+    own = ("width", "height", "pix_fmt", "sample_rate", "channel_layout")
+    last = frames.groupBy("stream_id").agg(F.max_by(F.struct(*own), "seq").alias("f")).select("stream_id", "f.*")
+    kind = F.when(F.col("media").isin("V", "A"), F.col("media")).otherwise("?")
+    order = F.when(F.col("media") == "V", F.coalesce("field_order", F.lit("unknown")))
+    known = streams.select("stream_id", "index", "codec", kind.alias("type"), order.alias("field_order"), F.try_divide(F.col("fps_num").cast("double"), F.col("fps_den")).alias("fps_md"))
+    return known.join(last, "stream_id", "left").withColumnRenamed("sample_rate", "samplerate_md")
+
+
+def sound_duration(audio: DataFrame, most_us: int) -> DataFrame:
+    """Per frame: how much sound the history that it closes holds. The oldest frames go while there is more than `most_us`; none is cut.
+
+    audio: stream_id, seq, duration_us. Among the frames that end within the limit only the first may begin before it.
+    """
+    end = F.sum("duration_us").over(by_stream().rowsBetween(Window.unboundedPreceding, 0))
+    placed = audio.where("duration_us > 0").withColumn("_end", end).withColumn("_begin", F.col("_end") - F.col("duration_us"))
+    w = Window.partitionBy("stream_id").orderBy("_end").rangeBetween(-most_us, 0)
+    first = F.min_by("_begin", "_end").over(w)
+    held = F.when(first >= F.col("_end") - most_us, first).otherwise(F.min("_end").over(w))
+    return placed.select("stream_id", "seq", (F.col("_end") - held).alias("sound_us"))
+
+
+def card_status(frames: DataFrame, start_us: int = 10_000_000) -> DataFrame:
+    """Per stream of a sentinel's output: whether it shows a card (a repeated frame or the slate), and when that last changed, in ms since the start."""
+    w = Window.partitionBy("stream_id").orderBy("out_us", "seq")
+    flag = F.col("card") != "live"
+    marked = frames.select("stream_id", "seq", "out_us", flag.alias("on"), F.coalesce(F.lag(flag).over(w), F.lit(False)).alias("before"))
+    switch = F.max(F.when(F.col("on") != F.col("before"), F.expr(f"(out_us - {start_us}) div 1000")))
+    return marked.groupBy("stream_id").agg(F.max_by("on", F.struct("out_us", "seq")).alias("card"), F.coalesce(switch, F.lit(0)).alias("last_card_switch_ms"))
+
+
 def dropped_frames(frames: DataFrame, duration_us: int) -> DataFrame:
     """Frames missing between neighbours, summed per stream."""
     gap = (F.col("pts_us") - F.lag("pts_us").over(by_stream())) / duration_us
@@ -86,11 +137,24 @@ def reports(audio: DataFrame, interval_us: int) -> DataFrame:
     return sound(audio.withColumn("report", tick), ["stream_id", "channel", "report"])
 
 
-def loudness(frames: DataFrame, keys: list[str]) -> DataFrame:
+#: Names of loudness measures in frames' metadata.
+LOUDNESS = ("M", "S", "I", "LRA", "LRA.low", "LRA.high")
+
+
+def loudness(frames: DataFrame, prefix: str = "lavfi.r128.", keys: tuple[str, ...] = LOUDNESS) -> DataFrame:
     """The latest loudness values of each stream from the frames' metadata; one missing key clears them all."""
     last = frames.groupBy("stream_id").agg(F.max_by("metadata", "seq").alias("_meta"))
-    full = F.size(F.filter(F.array(*map(F.lit, keys)), lambda k: F.col("_meta")[k].isNotNull())) == len(keys)
-    return last.select("stream_id", *[F.when(full, F.col("_meta")[k].cast("double")).alias(k.replace(".", "_")) for k in keys])
+    full = F.size(F.filter(F.array(*[F.lit(prefix + k) for k in keys]), lambda k: F.col("_meta")[k].isNotNull())) == len(keys)
+    return last.select("stream_id", *[F.when(full, F.col("_meta")[prefix + k].cast("double")).alias(k.replace(".", "_")) for k in keys])
+
+
+def true_peaks(frames: DataFrame, interval_us: int, prefix: str = "lavfi.r128.true_peaks_ch", channels: int = 32) -> DataFrame:
+    """The greatest true peak of each channel since the last report, in dB."""
+    names = F.filter(F.map_keys("metadata"), lambda k: k.startswith(prefix))
+    one = frames.select("stream_id", F.expr(f"pts_us div {interval_us}").alias("report"), "metadata", F.explode(names).alias("_k"))
+    channel = F.substring_index("_k", "ch", -1).cast("int")
+    g = one.where(channel < channels).groupBy("stream_id", "report", channel.alias("channel")).agg(F.max(F.col("metadata")[F.col("_k")].cast("double")).alias("peak"))
+    return g.select("stream_id", "report", "channel", decibels(F.col("peak")).alias("true_peak_db"))
 
 
 def av_diff(packets: DataFrame, audio: str, video: str) -> DataFrame:
@@ -104,13 +168,3 @@ def report(packets: DataFrame, interval_us: int) -> DataFrame:
     at = F.expr(f"arrival_us div {interval_us}").alias("report")
     g = packets.groupBy("stream_id", at).agg(F.count("*").alias("packets"), F.sum("size").alias("bytes"), F.max("arrival_us").alias("last"))
     return g.select("stream_id", "report", "packets", "bytes", ((F.col("report") + 1) * interval_us - F.col("last")).alias("stalled_us"))
-
-
-def sync_pairs(video: DataFrame, audio: DataFrame, within_us: int) -> DataFrame:
-    """Pairs of video and audio triggers at most so far apart, with audio's time less video's.
-
-    Times are cut into buckets as wide as the limit, so that the join is on equal buckets: an audio trigger stands in its own and both beside it.
-    """
-    v = video.select(F.col("seq").alias("video_seq"), F.col("pts_us").alias("video_us"), F.expr(f"pts_us div {within_us}").alias("_b"))
-    a = audio.select(F.col("seq").alias("audio_seq"), F.col("pts_us").alias("audio_us"), F.explode(F.expr(f"array(pts_us div {within_us} - 1, pts_us div {within_us}, pts_us div {within_us} + 1)")).alias("_b"))
-    return v.join(a, "_b").where(F.abs(F.col("audio_us") - F.col("video_us")) <= within_us).select("video_seq", "audio_seq", (F.col("audio_us") - F.col("video_us")).alias("offset_us"))

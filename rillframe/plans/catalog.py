@@ -93,12 +93,26 @@ def mux_pts_ge_dts(spark, d):
     return R.fix_timestamps(V.reordered(spark, d).withColumn("pts_ms", F.col("pts_ms") - 3_600_000)).select("stream_id", "seq", "fixed_pts")
 
 
-@query()
+_LATE = "dts_ms - CASE WHEN seq % 1000 > 500 THEN 900000000 ELSE 0 END"
+_SET = lambda name, value: f"list_transform(range(5), lambda i: CASE WHEN i = idx THEN {value} ELSE {name}[i + 1] END)"
+
+
+@query(f"""WITH RECURSIVE {REORDERED}, o AS (SELECT user_id, stream_id, seq, {_LATE} AS ts, pts_ms, list_position(['click', 'error', 'purchase', 'signup', 'view'], stream_id) - 1 AS idx,
+    row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM re),
+  k AS (SELECT DISTINCT user_id, 0::BIGINT AS rn, ''::VARCHAR AS stream_id, 0::BIGINT AS seq, [NULL, NULL, NULL, NULL, NULL]::BIGINT[] AS last, [0, 0, 0, 0, 0]::BIGINT[] AS moves, [0, 0, 0, 0, 0]::BIGINT[] AS runs,
+      0::BIGINT AS shift, 0::BIGINT AS fixed_dts, 0::BIGINT AS fixed_pts FROM o
+    UNION ALL SELECT user_id, rn, stream_id, seq, {_SET("last", "fixed_dts")}, CASE WHEN over THEN [0, 0, 0, 0, 0]::BIGINT[] ELSE moves END, CASE WHEN over THEN [0, 0, 0, 0, 0]::BIGINT[] ELSE runs END,
+      CASE WHEN over THEN shift + list_max(moves) ELSE shift END, fixed_dts, greatest(pts, fixed_dts)
+    FROM (SELECT *, runs[idx + 1] > 2 AS over FROM (SELECT user_id, rn, stream_id, seq, last, shift, idx, pts, CASE WHEN moved THEN l + 1 ELSE moved_ts END AS fixed_dts,
+        {_SET("moves", "CASE WHEN moved THEN l + 1 - moved_ts ELSE 0 END")} AS moves, {_SET("runs", "CASE WHEN moved THEN runs[idx + 1] + 1 ELSE 0 END")} AS runs
+      FROM (SELECT *, coalesce(moved_ts <= l, false) AS moved FROM (SELECT o.user_id, o.rn, o.stream_id, o.seq, o.idx, k.last, k.moves, k.runs, k.shift, k.last[o.idx + 1] AS l,
+          o.ts + CASE WHEN k.last[o.idx + 1] IS NULL THEN 0 ELSE k.shift END AS moved_ts, o.pts_ms + CASE WHEN k.last[o.idx + 1] IS NULL THEN 0 ELSE k.shift END AS pts
+        FROM k JOIN o ON o.user_id = k.user_id AND o.rn = k.rn + 1)))))
+  SELECT user_id, stream_id, seq, fixed_dts, shift, fixed_pts FROM k WHERE rn > 0""")
 def mux_global_shift(spark, d):
-    late = V.reordered(spark, d).withColumn("late", F.col("dts_ms") - F.when(F.col("seq") % 1000 > 500, 90_000_000).otherwise(0))
-    merged = R.merge_key(late, [s for s, _ in V.STREAMS], "late").withColumn("mux", F.lit("mux"))
-    got = S.replay(merged, S.GlobalShift, ts="late", arrival="pts_ms", key="mux", member="stream_id", order=("merge_ts", "src_index"))
-    return got.select(F.col("stream").alias("stream_id"), "seq", "fixed_dts", "shift", "fixed_pts")
+    late = V.reordered(spark, d).withColumn("late", F.col("dts_ms") - F.when(F.col("seq") % 1000 > 500, 900_000_000).otherwise(0))
+    got = S.replay(late, lambda: S.GlobalShift(2), ts="late", arrival="pts_ms", key="user_id", member="stream_id")
+    return got.select("user_id", F.col("stream").alias("stream_id"), "seq", "fixed_dts", "shift", "fixed_pts")
 
 
 @query(f"""WITH {REORDERED}, m AS (SELECT *, max(dts_ms) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM re)
@@ -191,7 +205,13 @@ def force_fps_grid(spark, d):
     return FR.fps_grid(V.packets(spark, d).withColumn("stream_id", F.col("user_id").cast("string")), 6 * HOUR)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PKT}, o AS (SELECT user_id, seq, pts_us, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM pkt),
+  k AS (SELECT user_id, rn, seq, pts_us, pts_us AS last, pts_us + {HOUR} AS next, seq AS held, seq AS filler, 0::BIGINT AS fills, pts_us + {HOUR} AS from_us, true AS taken FROM o WHERE rn = 1
+    UNION ALL SELECT user_id, rn, seq, pts_us, CASE WHEN taken THEN pts_us ELSE last END, CASE WHEN taken THEN pts_us + {HOUR} ELSE next + fills * {HOUR} END, seq, held, fills, next, taken
+    FROM (SELECT *, NOT inside OR pts_us >= next + fills * {HOUR} AS taken FROM (SELECT *, CASE WHEN inside THEN greatest(0, (pts_us - next + {HOUR - 1}) // {HOUR}) ELSE 0 END AS fills
+      FROM (SELECT o.user_id, o.rn, o.seq, o.pts_us, k.last, k.next, k.held, o.pts_us - k.last <> {HOUR} AND o.pts_us - k.last BETWEEN 0 AND {20 * HOUR} AS inside
+        FROM k JOIN o ON o.user_id = k.user_id AND o.rn = k.rn + 1))))
+  SELECT user_id, filler AS seq, from_us + unnest(range(fills)) * {HOUR} AS pts_us, true AS duplicated FROM k UNION ALL SELECT user_id, seq, pts_us, false FROM k WHERE taken""")
 def force_fps_exact(spark, d):
     return S.replay(V.packets(spark, d), lambda: S.ForceFps(HOUR, 20 * HOUR), key="user_id")
 
@@ -217,29 +237,40 @@ def sentinel_fill_all(spark, d):
     return FR.sentinel(V.reordered(spark, d).withColumn("pts_us", F.col("dts_ms") * 1000), HOUR, HOUR, fill="all").select("stream_id", "seq", "fills", "out_us")
 
 
+def _guarded(spark, d):
+    """Streams of a user under one sentinel whose second is an hour."""
+    model = lambda: S.Sentinel(HOUR, 10 * HOUR, timeout_us=4 * HOUR, freeze_us=6 * HOUR, wake_us=HOUR // 10, idle_us=8 * HOUR, recent_us=8 * HOUR)
+    return S.replay(V.packets(spark, d), model, key="user_id", member="stream_id")
+
+
 @query()
 def sentinel_group(spark, d):
-    return S.replay(V.packets(spark, d), lambda: S.SentinelGroup(HOUR, 10 * HOUR), key="user_id", member="stream_id")
+    return _guarded(spark, d).where("card = 'live'").select("user_id", F.col("stream").alias("stream_id"), "seq", "out_us", "shift_us")
 
 
 @query()
 def sentinel_stall(spark, d):
-    return S.replay(V.packets(spark, d), lambda: S.Stall(HOUR, 4 * HOUR, 6 * HOUR), key="user_id")
+    return _guarded(spark, d).where("card <> 'live'").select("user_id", F.col("stream").alias("stream_id"), "seq", "out_us", "card")
 
 
-@query()
-def realtime_classify(spark, d):
-    return S.replay(R.jittered(V.packets(spark, d)), lambda: S.Realtime(tolerance_us=150_000, discontinuity_us=400_000), key="user_id")
+_JITTER = "({a} % 100 + CASE WHEN {b} % 8 = 0 THEN {c} % 600 ELSE 0 END) * 1000".format(**{x: f"('0x' || substr(md5(seq || '{x}'), 1, 6))::BIGINT" for x in "abc"})
 
 
-@query()
-def sync_buffer_classify(spark, d):
-    return S.replay(R.jittered(V.packets(spark, d)), S.SyncBuffer, key="user_id")
+@query(f"""WITH RECURSIVE {PKT}, o AS (SELECT user_id, seq, pts_us, arrival_us + {_JITTER} AS arr, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM pkt),
+  k AS (SELECT user_id, rn, seq, 'resync' AS action, pts_us - arr AS offset_us FROM o WHERE rn = 1
+    UNION ALL SELECT user_id, rn, seq, CASE WHEN ahead < -150000 THEN 'resync' WHEN ahead >= 400000 THEN 'discontinuity' WHEN ahead > 0 THEN 'wait' ELSE 'emit' END,
+      CASE WHEN ahead < -150000 OR ahead >= 400000 THEN pts_us - arr ELSE offset_us END
+    FROM (SELECT o.*, k.offset_us, o.pts_us - k.offset_us - o.arr AS ahead FROM k JOIN o ON o.user_id = k.user_id AND o.rn = k.rn + 1))
+  SELECT user_id, seq, action, offset_us FROM k""")
+def realtime_classify(spark, d):
+    got = S.replay(R.jittered(V.packets(spark, d)), lambda: S.Realtime(tolerance_us=150_000, discontinuity_us=400_000), key="user_id")
+    return got.select("user_id", "seq", "action", "offset_us")
 
 
 @query()
-def realtime_flush(spark, d):
-    return S.replay(R.jittered(V.packets(spark, d)), lambda: S.RealtimeFlush(500_000, 50_000), key="user_id")
+def sync_buffer_classify(spark, d):
+    got = S.replay(V.packets(spark, d), lambda: S.SyncBuffer(2 * HOUR, HOUR, 10 * HOUR), key="user_id", member="stream_id")
+    return got.select("user_id", F.col("stream").alias("stream_id"), "seq", "action", "out_us")
 
 
 @query(f"""WITH {PKT}, n AS (SELECT stream_id, seq, media, pts_us, 48000 * 600 AS n_samples, 48000 AS sample_rate FROM pkt),
@@ -308,9 +339,54 @@ def stats_fps(spark, d):
     return _history(spark, d).select("stream_id", "seq", "frame_num", F.round("fps", 9).alias("fps"))
 
 
-@query(f"WITH {SES}, h AS (SELECT stream_id, seq, dts_us - min(dts_us) OVER w AS us, arrival_us - min_by(arrival_us, seq) OVER w AS wall FROM ses {_HIST}) SELECT stream_id, seq, us AS duration_us, CASE WHEN wall <> 0 THEN round(us::DOUBLE / wall, 6) END AS speed FROM h")
+@query(f"WITH {SES}, h AS (SELECT stream_id, seq, dts_us - min(dts_us) OVER w AS us FROM ses {_HIST}) SELECT stream_id, seq, us AS duration_us FROM h")
+def stats_duration(spark, d):
+    return _history(spark, d).select("stream_id", "seq", "duration_us")
+
+
+@query(f"""WITH {SES}, j AS (SELECT *, arrival_us + {_JITTER} AS arr FROM ses),
+  h AS (SELECT stream_id, seq, max_by(dts_us, arr * 1000000 + seq) OVER w - min_by(dts_us, arr * 1000000 + seq) OVER w AS us, arr - min(arr) OVER w AS wall FROM (SELECT * REPLACE (arr::HUGEINT AS arr) FROM j)
+    WINDOW w AS (PARTITION BY stream_id, session ORDER BY arr RANGE BETWEEN {6 * HOUR} PRECEDING AND CURRENT ROW))
+  SELECT stream_id, seq, CASE WHEN wall <> 0 THEN round(us::DOUBLE / wall, 6) END AS speed FROM h""")
 def stats_speed(spark, d):
-    return _history(spark, d).select("stream_id", "seq", "duration_us", F.round("speed", 6).alias("speed"))
+    return ST.speed(R.jittered(V.packets(spark, d)), 6 * HOUR, HOUR).select("stream_id", "seq", F.round("speed", 6).alias("speed"))
+
+
+@query(f"""WITH {SES}, g AS (SELECT stream_id, arrival_us // {24 * HOUR} AS report, session::BIGINT AS session, count(*) AS n, sum(size) - min_by(size, seq) AS b, max(dts_us) - min(dts_us) AS us FROM ses GROUP BY ALL)
+  SELECT stream_id, report, session, us AS duration_us, CASE WHEN us > 0 THEN round(b * 8e6 / (us * 1024.0), 9) END AS kbitrate, CASE WHEN us > 0 THEN round((n - 1) * 1e6 / us, 9) ELSE 0.0 END AS fps FROM g""")
+def stats_since_report(spark, d):
+    got = ST.since_report(V.packets(spark, d), 24 * HOUR, HOUR)
+    return got.select("stream_id", "report", "session", "duration_us", F.round("kbitrate", 9).alias("kbitrate"), F.round("fps", 9).alias("fps"))
+
+
+_DESCRIPTORS = [("view", 0, "h264", "V", "progressive", 30000, 1001), ("click", 1, "hevc", "V", None, 25, 1), ("error", 2, "aac", "A", None, None, None), ("signup", 3, "klv", "D", None, None, 0), ("none", 4, "opus", "A", None, None, None)]
+
+
+@query(f"""WITH {PKT}, f AS (SELECT stream_id, seq, CASE WHEN media = 'V' THEN 1280 + seq % 3 * 320 END AS width, CASE WHEN media = 'V' THEN 720 + seq % 3 * 180 END AS height, CASE WHEN media = 'V' THEN 'yuv420p' END AS pix_fmt,
+    CASE WHEN media = 'A' THEN 44100 + seq % 2 * 3900 END AS samplerate_md, CASE WHEN media = 'A' THEN 'stereo' END AS channel_layout FROM pkt),
+  l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) = 1),
+  s(stream_id, index, codec, type, field_order, fps_md) AS (VALUES ('view', 0, 'h264', 'V', 'progressive', 30000 / 1001.0), ('click', 1, 'hevc', 'V', 'unknown', 25.0), ('error', 2, 'aac', 'A', NULL, NULL), ('signup', 3, 'klv', '?', NULL, NULL), ('none', 4, 'opus', 'A', NULL, NULL))
+  SELECT stream_id, index, codec, type, field_order, round(fps_md::DOUBLE, 6) AS fps_md, width, height, pix_fmt, samplerate_md, channel_layout FROM s LEFT JOIN l USING (stream_id)""")
+def stats_stream_info(spark, d):
+    streams = spark.createDataFrame(_DESCRIPTORS, "stream_id string, index int, codec string, media string, field_order string, fps_num int, fps_den int")
+    on = lambda m, e: F.when(F.col("media") == m, F.expr(e))
+    frames = V.packets(spark, d).select("stream_id", "seq", on("V", "1280 + seq % 3 * 320").alias("width"), on("V", "720 + seq % 3 * 180").alias("height"), on("V", "'yuv420p'").alias("pix_fmt"), on("A", "44100 + seq % 2 * 3900").alias("sample_rate"), on("A", "'stereo'").alias("channel_layout"))
+    return ST.stream_info(frames, streams).withColumn("fps_md", F.round("fps_md", 6))
+
+
+@query(f"""WITH {PKT}, a AS (SELECT stream_id, seq, size * 1000 AS duration_us, sum(size * 1000) OVER (PARTITION BY stream_id ORDER BY seq) AS e FROM pkt WHERE media = 'A'),
+  p AS (SELECT stream_id, seq, e, e - duration_us AS b FROM a)
+  SELECT x.stream_id, x.seq, (x.e - min(CASE WHEN y.b >= x.e - 600000 THEN y.b ELSE x.e END))::BIGINT AS sound_us FROM p x JOIN p y ON x.stream_id = y.stream_id AND y.e <= x.e AND y.e >= x.e - 700000 GROUP BY x.stream_id, x.seq, x.e""")
+def stats_sound_duration(spark, d):
+    return ST.sound_duration(V.packets(spark, d).where("media = 'A'").withColumn("duration_us", F.col("size") * 1000), 600_000)
+
+
+@query(f"""WITH {PKT}, f AS (SELECT stream_id, seq, 10000000 + seq * 40000 AS out_us, size % 3 = 0 AS on_card FROM pkt WHERE media = 'V'),
+  c AS (SELECT *, coalesce(lag(on_card) OVER (PARTITION BY stream_id ORDER BY out_us), false) AS before FROM f)
+  SELECT stream_id, max_by(on_card, out_us) AS card, coalesce(max(CASE WHEN on_card <> before THEN (out_us - 10000000) // 1000 END), 0) AS last_card_switch_ms FROM c GROUP BY stream_id""")
+def stats_card(spark, d):
+    frames = V.packets(spark, d).where("media = 'V'").select("stream_id", "seq", (F.col("seq") * 40_000 + 10_000_000).alias("out_us"), F.when(F.col("size") % 3 == 0, "freeze").otherwise("live").alias("card"))
+    return ST.card_status(frames)
 
 
 @query(f"WITH {PKT}, g AS (SELECT stream_id, (pts_us - lag(pts_us) OVER (PARTITION BY stream_id ORDER BY seq)) / {HOUR}.0 AS gap FROM pkt WHERE media = 'V') SELECT stream_id, coalesce(sum(CASE WHEN gap > 1.001 THEN floor(gap - 1) END), 0)::BIGINT AS dropped_frames FROM g GROUP BY stream_id")
@@ -352,11 +428,26 @@ def stats_channels_rt(spark, d):
     return ST.reports(V.audio(spark, d), 10_000)
 
 
-@query(f"WITH {PKT}, l AS (SELECT stream_id, max_by(value, seq) AS v, max(seq) AS s FROM pkt GROUP BY stream_id) SELECT stream_id, CASE WHEN s % 2 = 0 THEN round(v, 6) END AS M, CASE WHEN s % 2 = 0 THEN round(v * 2, 6) END AS LRA_low FROM l")
+_KEYS = [k.replace(".", "_") for k in ST.LOUDNESS]
+
+
+@query(f"WITH {PKT}, l AS (SELECT stream_id, max_by(value, seq) AS v, max(seq) AS s FROM pkt GROUP BY stream_id) SELECT stream_id, {', '.join(f'CASE WHEN s % 2 = 0 THEN round(v * {i + 1}, 6) END AS {k}' for i, k in enumerate(_KEYS))} FROM l")
 def stats_r128(spark, d):
-    meta = F.when(F.col("seq") % 2 == 0, F.create_map(F.lit("M"), F.col("value").cast("string"), F.lit("LRA.low"), (F.col("value") * 2).cast("string"))).otherwise(F.create_map(F.lit("M"), F.col("value").cast("string")))
-    got = ST.loudness(V.packets(spark, d).withColumn("metadata", meta), ["M", "LRA.low"])
-    return got.select("stream_id", F.round("M", 6).alias("M"), F.round("LRA_low", 6).alias("LRA_low"))
+    entry = lambda i, k: (F.lit(f"lavfi.r128.{k}"), (F.col("value") * (i + 1)).cast("string"))
+    whole = F.create_map(*[x for i, k in enumerate(ST.LOUDNESS) for x in entry(i, k)])
+    part = F.create_map(*[x for i, k in enumerate(ST.LOUDNESS[:-1]) for x in entry(i, k)])
+    got = ST.loudness(V.packets(spark, d).withColumn("metadata", F.when(F.col("seq") % 2 == 0, whole).otherwise(part)))
+    return got.select("stream_id", *[F.round(k, 6).alias(k) for k in _KEYS])
+
+
+@query(f"""WITH {PKT}, p AS (SELECT stream_id, pts_us // {24 * HOUR} AS report, unnest([0, 1]) AS channel, unnest([size / 101.0, CASE WHEN seq % 3 = 0 THEN size / 202.0 END]) AS peak FROM pkt WHERE media = 'A')
+  SELECT stream_id, report, channel, round(20 * log10(max(peak)), 6) AS true_peak_db FROM p GROUP BY stream_id, report, channel HAVING max(peak) IS NOT NULL""")
+def stats_true_peaks(spark, d):
+    key = lambda n: F.lit(f"lavfi.r128.true_peaks_ch{n}")
+    one, two = (F.col("size") / 101).cast("string"), (F.col("size") / 202).cast("string")
+    meta = F.when(F.col("seq") % 3 == 0, F.create_map(key(0), one, key(1), two, key(40), two)).otherwise(F.create_map(key(0), one))
+    got = ST.true_peaks(V.packets(spark, d).where("media = 'A'").withColumn("metadata", meta), 24 * HOUR)
+    return got.withColumn("true_peak_db", F.round("true_peak_db", 6))
 
 
 @query(f"WITH {PKT} SELECT (SELECT max_by(dts_us, seq) FROM pkt WHERE stream_id = 'error') - (SELECT max_by(dts_us, seq) FROM pkt WHERE stream_id = 'click') AS av_diff_us")
@@ -374,11 +465,16 @@ def queue_stats(spark, d):
     return R.queue_stats(V.packets(spark, d))
 
 
-@query(f"""WITH {PKT} SELECT v.seq AS video_seq, a.seq AS audio_seq, a.pts_us - v.pts_us AS offset_us FROM pkt v JOIN pkt a ON abs(a.pts_us - v.pts_us) <= 500000000
-  WHERE v.stream_id = 'click' AND a.stream_id = 'error' AND v.size > 80 AND a.size > 80""")
+@query(f"""WITH RECURSIVE {PKT}, o AS (SELECT user_id, seq, pts_us, stream_id = 'click' AS video, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM pkt WHERE stream_id IN ('click', 'error')),
+  k AS (SELECT user_id, rn, CASE WHEN video THEN seq END AS v, CASE WHEN NOT video THEN seq END AS a, CASE WHEN video THEN pts_us END AS vt, CASE WHEN NOT video THEN pts_us END AS au,
+      NULL::BIGINT AS video_seq, NULL::BIGINT AS audio_seq, NULL::BIGINT AS offset_us FROM o WHERE rn = 1
+    UNION ALL SELECT user_id, rn, CASE WHEN NOT near THEN v END, CASE WHEN NOT near THEN a END, CASE WHEN NOT near THEN vt END, CASE WHEN NOT near THEN au END, CASE WHEN near THEN v END, CASE WHEN near THEN a END, CASE WHEN near THEN au - vt END
+    FROM (SELECT *, coalesce(abs(au - vt) <= {24 * HOUR}, false) AS near FROM (SELECT o.user_id, o.rn, CASE WHEN video THEN o.seq ELSE k.v END AS v, CASE WHEN video THEN k.a ELSE o.seq END AS a,
+        CASE WHEN video THEN o.pts_us ELSE k.vt END AS vt, CASE WHEN video THEN k.au ELSE o.pts_us END AS au FROM k JOIN o ON o.user_id = k.user_id AND o.rn = k.rn + 1)))
+  SELECT user_id, video_seq, audio_seq, offset_us FROM k WHERE offset_us IS NOT NULL""")
 def syncmeter(spark, d):
-    p = V.packets(spark, d).where("size > 80")
-    return ST.sync_pairs(p.where("stream_id = 'click'"), p.where("stream_id = 'error'"), 500_000_000)
+    triggers = V.packets(spark, d).where("stream_id in ('click', 'error')")
+    return S.replay(triggers, lambda: S.SyncPairs("click", 24 * HOUR), key="user_id", member="stream_id")
 
 
 @query(f"WITH {PKT} SELECT stream_id, seq, arrival_us + 250000 AS arrival_us FROM pkt")
@@ -397,10 +493,11 @@ def jittergen(spark, d):
 REMUX = """
 # a source, its streams, repaired times and one output
 node.add {"name": "in", "type": "input", "url": "events", "dst": "all"}
-node.add {"name": "dx", "type": "demux", "src": "all", "dst": ["video", "audio"], "streams": [["click", "V"], ["error", "A"], ["purchase", "A"], ["signup", "A"], ["view", "V"]], "routing": {"v": "video", "a": "audio"}}
+node.add {"name": "dx", "type": "demux", "src": "all", "routing": {"v:0": "video", "a:0": "audio"}}
 node.add {"name": "rv", "type": "packet_relay", "src": "video", "dst": "video2"}
 node.add {"name": "mx", "type": "mux", "src": ["video2", "audio"], "dst": "muxed", "fix_timestamps": true}
-node.add {"name": "out", "type": "output", "src": "muxed", "dst": "written"}
+node.add {"name": "written", "type": "output", "src": "muxed"}
+stats.subscribe {"name": "rates", "max_age": 21600, "streams": {"video": [{"q_pre_dec": "video"}], "audio": [{"q_pre_dec": "audio"}]}}
 group.start default
 """
 

@@ -26,17 +26,24 @@ def of(data, key):
     return [(s, t, a) for k, s, t, a in data if k == key]
 
 
-@pytest.mark.parametrize("model", [lambda: S.LimitFps(100_000), lambda: S.ForceFps(40_000), S.Realtime, S.SyncBuffer, S.GlobalShift, lambda: S.Stall(40_000, 100_000), lambda: S.RealtimeFlush(300_000, 50_000)])
-def test_replay_is_the_model(spark, model):
+@pytest.mark.parametrize("model", [lambda: S.LimitFps(100_000), lambda: S.ForceFps(40_000), S.Realtime, S.SyncBuffer, S.GlobalShift, lambda: S.Sentinel(40_000)])
+def test_batches_carry_the_model_on(spark, model):
+    """A stream in many Arrow batches gives what its items give on end, whatever order they come in."""
     data, df = rows(spark)
     want = []
     for key in "ab":
         m = model()
         for item in of(data, key):
             want += [(key, *r) for r in m.push(*item)]
-    got = [tuple(r) for r in S.replay(df, model).collect()]
-    norm = lambda rs: sorted(tuple("" if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in rs)
-    assert norm(got) == norm(want)
+        want += [(key, *r) for r in m.end()] if hasattr(m, "end") else []
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        got = [tuple(r) for r in S.replay(df.orderBy("pts_us"), model).collect()]
+    finally:
+        spark.conf.set(name, was)
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_limit_fps_rule():
@@ -74,16 +81,71 @@ def test_global_shift_is_shared_by_streams(spark):
 
 
 def test_sentinel_group_shares_its_shift():
-    m = S.SentinelGroup(40_000)
+    m = S.Sentinel(40_000)
     out = {"v": [], "a": []}
     for i in range(20):
         jump = 7_000_000 if i >= 10 else 0
         for k in "va":
-            out[k] += m.push(2 * i + (k == "a"), i * 40_000 + jump, 0, k)
-    for k in "va":
-        assert [b[1] - a[1] for a, b in zip(out[k], out[k][1:])] == [40_000 * (1 + b[2]) for b in out[k][1:]] or k == "a"
-    assert sum(r[2] for r in out["v"]) == 5 and {r[3] for r in out["v"][10:]} == {r[3] for r in out["a"][10:]}
-    assert S.SentinelGroup(40_000).push(0, None) == []
+            out[k] += m.push(2 * i + (k == "a"), i * 40_000 + jump, i * 40_000, k)
+    for k in "va":  # no gap in either; what the first to jump was filled with is the other's jump too
+        assert [b[1] - a[1] for a, b in zip(out[k], out[k][1:])] == [40_000] * (len(out[k]) - 1)
+    assert [r[2] for r in out["v"]].count("freeze") == 5
+    assert out["v"][-1][3] == out["a"][-1][3]
+    assert list(S.Sentinel(40_000).push(0, None, 0)) == []
+
+
+def test_stall_is_filled_up_to_the_clock():
+    """25 frames a second stop for a minute: nothing for two seconds, then frames up to the clock, the first five seconds of them frozen."""
+    m = S.Sentinel(40_000)
+    out = [r for i in range(10) for r in m.push(i, i * 40_000, i * 40_000)]
+    assert [r[1] for r in out] == [10_000_000 + i * 40_000 for i in range(10)] and {r[2] for r in out} == {"live"}
+    more = list(m.push(10, 10 * 40_000, 9 * 40_000 + 60_000_000))
+    cards = [r[2] for r in more]
+    last = 10_000_000 + 9 * 40_000
+    # the last wake-up before the frame comes, at 1 s and then every 22 ms, sees the clock this far on
+    clock = last + 1_000_000 + (59_000_000 - 1) // 22_000 * 22_000
+    assert [r[1] for r in more[:-1]] == list(range(last + 40_000, clock, 40_000))
+    assert len(more) > 1400 and cards[-1] == "live" and more[-1][1] == more[-2][1] + 40_000
+    assert cards.count("freeze") == 124 and cards[:124] == ["freeze"] * 124
+    assert list(m.push(11, 11 * 40_000, 9 * 40_000 + 60_000_000 + 40_000)) == [(11, more[-1][1] + 40_000, "live", more[-1][3], "")]
+    # a pause of less than two seconds shows nothing: the clock stands still
+    n = S.Sentinel(40_000)
+    assert len(list(n.push(0, 0, 0))) == len(list(n.push(1, 40_000, 1_900_000))) == 1
+
+
+def test_every_second_step_ahead_is_filled():
+    m = S.Sentinel(10, 1, start_us=0)
+    got = [list(m.push(i, t, t)) for i, t in enumerate([0, 10, 1000, 1010, 2000, 2010, 3000])]
+    assert [len(g) for g in got] == [1, 1, 6, 1, 1, 1, 6]
+    assert [g[-1][1] for g in got] == [0, 10, 70, 80, 90, 100, 160]
+
+
+def test_realtime_margins_and_masters():
+    m = S.Realtime(margin_us=10, initial_margin_us=100)
+    assert m.push(0, 0, 0) == [(0, "resync", -100, "")]
+    assert m.push(1, 0, 1_000_000) == [(1, "resync", -1_000_010, "")]
+    assert m.push(2, 9_000_000, 1_000_000) == [(2, "discontinuity", 7_999_900, "")]
+    t = S.Realtime(masters=("v",))
+    assert t.push(0, 100, 0, "v")[0][2] == 100 and t.push(1, 100, 20, "a")[0][1:3] == ("emit", 100)
+    # a member that is not a master follows the least offset, a master sets it anew
+    assert t.push(2, 5_000_000, 20, "a")[0][1:3] == ("discontinuity", 100)
+    assert t.push(3, 5_000_000, 20, "v")[0][1:3] == ("discontinuity", 4_999_980)
+
+
+def test_sync_buffer_fills_then_follows_the_offset():
+    m = S.SyncBuffer()
+    assert m.push(0, 0, 0) == [] and m.push(1, 100_000, 90_000) == []
+    # at 200 ms the buffer opens: the first item sets the offset, the others are due later
+    assert m.push(2, 200_000, 210_000) == [(0, "resync", 210_000, "")]
+    assert m.push(3, 300_000, 400_000) == [(1, "wait", 310_000, "")]
+    assert m.push(4, 400_000, 2_000_000) == [(2, "wait", 410_000, ""), (3, "wait", 510_000, "")]
+    assert m.end() == [(4, "flush", None, "")] and m.push(5, None, 0) == []
+
+
+def test_triggers_pair_once():
+    m = S.SyncPairs("v", 500)
+    got = [m.push(i, t, 0, k) for i, (k, t) in enumerate([("v", 0), ("v", 100), ("a", 150), ("a", 160), ("v", 900), ("a", 1000), ("a", 1001)])]
+    assert [r for g in got for r in g] == [(1, 2, 50), (4, 5, 100)]
 
 
 def test_one_item_and_empty_streams(spark):
