@@ -2,19 +2,20 @@
 
 A window is 50 words on end. Each window picks its anchor, the least hash among its runs of 8 words, so that equal windows pick equal anchors; the windows of
 a document that share an anchor make one entry: the anchor's hash, and a hash of all the words that these windows cover. The index holds
-each distinct entry once, with the first document that has it, as immutable runs sorted by hash. A batch is merge-joined with the runs; what it adds
-becomes a run of its own, and runs are compacted when there are many.
+each distinct entry once, with the first document that has it, as immutable runs: tables in buckets by hash, sorted by it. A batch is dealt as the runs are and
+merge-joined with them where they stand; what it adds becomes a run of its own, and runs are compacted when there are many.
 
 An entry known from a smaller document settles all its windows at once. Where entries share an anchor but not all their words, which
 is at the edges of common passages, the texts of these entries are read again and their single windows compared by two more hashes.
 
-Words are runs of bytes other than ASCII white space. Null texts have none. Rows with equal ids never remove each other's words, and rows with a null id
+Words are runs of bytes other than ASCII white space. Null texts have none, an empty table gives an empty one. Rows with equal ids, whatever their texts, never remove each other's words, and rows with a null id
 neither remove nor lose any. Equal rows have equal results.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillframe.llm import words as W
-from rillframe.llm.common import bit_filter, dropped, frugal, in_filter, mixed, row_key, slices, written
+from rillframe.llm.common import ROW_GROUP, bit_filter, dropped, frugal, in_filter, mixed, row_key, shared_dir, sized, slices, written
 
 WINDOW = 50
 ANCHOR = 8
 #: Batches that a whole table is taken in, and runs that the index keeps before it compacts them.
 BATCHES = 3
 RUNS = 2
+#: Entries that are worth a bucket of their own, beyond those that the session's shuffles have.
+BUCKET_ROWS = 5_000_000
+RUN = "key long, ctx long, doc long"
 ENTRY = "key long, ctx long, doc long, row long, low int, high int"
 
 
@@ -84,47 +88,116 @@ def entries(docs: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Immutable sorted runs of distinct entries with the smallest document of each. Batches with smaller ids than earlier ones don't change what those lost."""
+    """Immutable sorted runs of distinct entries with the smallest document of each. Batches with smaller ids than earlier ones don't change what those lost.
 
-    def __init__(self, spark: SparkSession, most_runs: int = RUNS):
-        self.spark, self.most_runs = spark, most_runs
-        self.runs: list[DataFrame] = []
-
-    def _sorted(self, entries: DataFrame, what: str) -> DataFrame:
-        return written(entries.sortWithinPartitions("key", "ctx"), what)
+    Each run is a table in `buckets` buckets by (key, ctx), sorted by them, in a folder of its own; a manifest names the runs, so that a later session opens
+    the index by its folder and goes on. A batch is dealt and sorted as the runs are and merged with them: the runs themselves don't move.
+    """
 
-    def history(self) -> DataFrame:
-        return self.runs[0] if len(self.runs) == 1 else _union(self.runs)
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, most_runs: int = RUNS):
+        self.spark, self.most_runs = spark, most_runs
+        self.folder = folder or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        known = self._read_manifest()
+        self.buckets = known["buckets"] if known else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names: list[str] = known["runs"] if known else []
+        self.tables: list[str] = []
+        self.runs: list[DataFrame] = [self._opened(n) for n in self.names]
+
+    def _path(self, name: str):  # noqa: ANN202
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _read_manifest(self) -> dict | None:
+        path = self._path("manifest")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return None
+        rows = self.spark.read.text(path.toString()).collect()  # one line a run
+        return {"buckets": int(rows[0]["value"]), "runs": [r["value"] for r in rows[1:]]}
+
+    def _write_manifest(self) -> None:
+        """A new manifest takes the place of the old one only once it is whole."""
+        fs = self._path("manifest").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        lines = self.spark.createDataFrame([(str(self.buckets),), *[(n,) for n in self.names]], "value string").coalesce(1)
+        lines.write.mode("overwrite").text(f"{self.folder}/manifest-new")
+        fs.delete(self._path("manifest"), True)
+        fs.rename(self._path("manifest-new"), self._path("manifest"))
+
+    def _opened(self, name: str) -> DataFrame:
+        """A run by its place, known to Spark as bucketed and sorted."""
+        at = f"rillframe_{uuid.uuid4().hex}"
+        self.tables.append(at)
+        self.spark.sql(f"CREATE TABLE {at} ({RUN}) USING parquet CLUSTERED BY (key, ctx) SORTED BY (key, ctx) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+        return self.spark.table(at)
+
+    def _dealt(self, entries: DataFrame) -> DataFrame:
+        return entries.repartition(self.buckets, "key", "ctx")
+
+    def _run(self, entries: DataFrame) -> None:
+        """Writes a run of entries that are dealt as runs are."""
+        name, at = f"run-{uuid.uuid4().hex}", f"rillframe_{uuid.uuid4().hex}"
+        self.tables.append(at)
+        writer = entries.select("key", "ctx", "doc").write.format("parquet").option("parquet.block.size", ROW_GROUP)
+        writer.bucketBy(self.buckets, "key", "ctx").sortBy("key", "ctx").option("path", f"{self.folder}/{name}").saveAsTable(at)
+        self.names.append(name)
+        self.runs.append(self.spark.table(at))
+
+    def _first(self, entries: DataFrame) -> DataFrame:
+        return entries.groupBy("key", "ctx").agg(F.min("doc").alias("doc"))
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch of entries as a run; returns those (row, low, high) that an entry of a smaller document settles."""
-        first = batch.where("doc is not null").groupBy("key", "ctx").agg(F.min(F.struct("doc", "row", "low", "high")).alias("e")).select("key", "ctx", "e.*")
-        if self.runs:
-            known = self.history().groupBy("key", "ctx").agg(F.min("doc").alias("known"))
-            first = first.join(known, ["key", "ctx"], "left").where("known is null or known > doc").drop("known")
-        self.runs.append(self._sorted(first.select("key", "ctx", "doc", "row", "low", "high"), "run"))
-        owners = self.history().select("key", "ctx", F.col("doc").alias("owner"))
-        hits = written(batch.join(owners, ["key", "ctx"]).where("owner < doc").select("row", "low", "high").distinct(), "hits")
+        """Adds a batch of entries as a run; returns those (row, doc, low, high) that an entry of a smaller document settles."""
+        dealt = self._dealt(batch.where("doc is not null"))
+        first = self._first(dealt)
+        for i, run in enumerate(self.runs):  # an entry stays only if it is new to a run, or its document smaller
+            first = first.join(run.select("key", "ctx", F.col("doc").alias(f"known{i}")), ["key", "ctx"], "left").where(f"known{i} is null or known{i} > doc").drop(f"known{i}")
+        self._run(first)
+        owner = dealt
+        for i, run in enumerate(self.runs):
+            owner = owner.join(run.select("key", "ctx", F.col("doc").alias(f"owner{i}")), ["key", "ctx"], "left")
+        settled = F.coalesce(F.least(*[F.coalesce(f"owner{i}", "doc") for i in range(len(self.runs))], F.col("doc")), F.col("doc")) < F.col("doc")
+        hits = written(owner.where(settled).select("row", "doc", "low", "high").distinct(), "hits")
         if len(self.runs) > self.most_runs:
             self.compact()
+        self._write_manifest()
         return hits
 
+    def history(self) -> DataFrame:
+        """All runs' entries, each once with its smallest document."""
+        merged = self.runs[0].select("key", "ctx", "doc")
+        for i, run in enumerate(self.runs[1:]):
+            merged = merged.join(run.select("key", "ctx", F.col("doc").alias("other")), ["key", "ctx"], "full").select("key", "ctx", F.least("doc", "other").alias("doc"))
+        return merged
+
     def compact(self) -> None:
         """Merges all runs into one that keeps the smallest document of each entry."""
-        old = self.runs
-        merged = self.history().groupBy("key", "ctx").agg(F.min(F.struct("doc", "row", "low", "high")).alias("e")).select("key", "ctx", "e.*")
-        self.runs = [self._sorted(merged, "run")]
-        dropped(self.spark, *old)
+        old, merged, tables = self.names, self.history(), self.tables
+        self.names, self.runs, self.tables = [], [], []
+        self._run(merged)
+        self._write_manifest()
+        fs = self._path("manifest").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for name, at in zip(old, tables, strict=True):
+            self.spark.sql(f"DROP TABLE IF EXISTS {at}")
+            fs.delete(self._path(name), True)
+
+    def close(self) -> None:
+        """Forgets the runs' names in the catalogue; their files stay."""
+        for at in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {at}")
+
+    def delete(self) -> None:
+        """Removes the index and its files."""
+        self.close()
+        path = self._path("manifest").getParent()
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def contested(self, entries: DataFrame) -> DataFrame:
-        """Entries (row, low, high) whose anchor other entries share: their windows are yet to be compared one by one.
+        """Entries (row, doc, low, high) whose anchor other entries share: their windows are yet to be compared one by one.
 
-        A run names an entry once; `entries` has all places of it in its document.
+        The history names an entry once, with its document; `entries` has all places of it in all rows of that document.
         """
-        all_runs = self.history()
-        shared = all_runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        named = written(all_runs.join(shared, "key").select("key", "ctx", "row"), "named")
-        return entries.join(named, ["key", "ctx", "row"]).select("row", "low", "high")
+        known = self.history()
+        shared = known.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+        named = written(known.join(shared, "key").select("key", "ctx", "doc"), "named")
+        return entries.join(named, ["key", "ctx", "doc"]).select("row", "doc", "low", "high")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -135,7 +208,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _spans(of: DataFrame) -> DataFrame:
-    return of.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return of.groupBy("row", "doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
 def windows(texts: DataFrame) -> DataFrame:
@@ -156,12 +229,12 @@ def windows(texts: DataFrame) -> DataFrame:
 
 
 def compare_windows(docs: DataFrame, contested: DataFrame) -> DataFrame:
-    """Windows (row, low, high) of contested entries that also start in a smaller document. docs: (row, doc, text)."""
+    """Windows (row, doc, low, high) of contested entries that also start in a smaller document. docs: (row, doc, text)."""
     needed = bit_filter(contested.select("row"), "row")
-    texts = docs.where(in_filter(docs.sparkSession, needed, "row")).join(_spans(contested), "row")
+    texts = docs.where(in_filter(docs.sparkSession, needed, "row")).join(_spans(contested), ["row", "doc"])
     found = written(windows(texts), "windows")
     first = found.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("one", "two", "least")
-    return found.join(first, ["one", "two"]).where("least < doc").select("row", F.col("at").alias("low"), F.col("at").alias("high")).distinct()
+    return found.join(first, ["one", "two"]).where("least < doc").select("row", "doc", F.col("at").alias("low"), F.col("at").alias("high")).distinct()
 
 
 def kept_words(text: str | None, spans: list[dict] | None) -> tuple[int, int, bytes]:
@@ -199,13 +272,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(row_key(F.col(id_col).cast("long"), text_col).alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     marks = sorted(set(rows.select("doc").approxQuantile("doc", [i / batches for i in range(1, batches)], 0.02))) if batches > 1 else []
     number = sum([(F.col("doc") >= m).cast("int") for m in marks], F.lit(0))
-    found = written(entries(rows), "entries")
-    index = Index(docs.sparkSession)
+    found, n = sized(entries(rows), "entries")
+    index = Index(docs.sparkSession, buckets=max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BUCKET_ROWS))
     hits = [index.ingest(found.where(F.coalesce(number, F.lit(0)) == b)) for b in range(len(marks) + 1)]
     contested = written(index.contested(found), "contested")
+    index.delete()
     gone = written(_spans(_union([*hits, compare_windows(rows, contested)])), "gone")
+    dropped(docs.sparkSession, found, contested, *hits)
     loses = in_filter(docs.sparkSession, bit_filter(gone.select("row"), "row"), "row")
     some = rows.withColumn("loses", loses)
-    moved = some.where("loses").join(gone, "row", "left")
+    moved = some.where("loses").join(gone, ["row", "doc"], "left")
     stay = some.where("not loses").withColumn("spans", F.lit(None).cast("array<struct<low:int,high:int>>"))
     return _result(moved.select("doc", "text", "spans").unionAll(stay.select("doc", "text", "spans")), id_col, keep_text)
