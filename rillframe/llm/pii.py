@@ -10,7 +10,9 @@ over all capitalised words that follow it, and the last one counts as the surnam
 Different entities keep different surrogates, and none equals an entity of the corpus: clashes of surrogates are found by joins over the
 distinct entities, and the later one by name draws again until there are none.
 
-Null and empty texts stay as they are, texts without entities unchanged. Repeated rows stay repeated. Extra columns are kept.
+A surrogate keeps the length and form of its entity as long as that form has a free member; then it grows.
+
+Null and empty texts stay as they are, texts without entities unchanged; an empty table gives an empty one. Repeated rows stay repeated. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -32,20 +34,23 @@ HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor S
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _HONORIFIC = rf"(?:{'|'.join(HONORIFICS)})(?!\p{{L}})\.?"
+_CAPITAL_HONORIFIC = r"(?:MR|MRS|MS|DR|PROF|HERR|FRAU)(?!\p{L})\.?"
 _PARTICLE = "(?:van|von|zu|der|den|ten|ter|de|del|della|di|da|dos|du|la|le|el|al|bin|ibn)"
 # a capitalised word whole: inner capitals, apostrophes (but for a possessive s) and hyphens belong to it
 _WORD = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’]\p{L}))(?:['’](?![sS](?!\p{L}))[\p{L}\p{M}]++|[-‐‑][\p{L}\p{M}]++)*+"
 _NAME = rf"(?:{_PARTICLE}[ ])*+(?:d['’])?+(?:\p{{Lu}}\.[ ]?)*+{_WORD}"
+# a name in capitals all through takes in two more words at most, as whole headings stand so
+_CAPITALS = r"\p{Lu}{2,}(?:['’-]\p{Lu}{2,})*+(?![\p{L}\p{N}])"
 PATTERNS = {
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?:\d{4}[ -]?){3}\d{4}(?![\w-])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
-    "secret": r"(?=[pPsStTaA])(?i:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9_+/-]{8,}",
+    "secret": r"(?:[A-Za-z0-9]++[_.-]){0,8}(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?:\d++|(?:_[A-Za-z0-9]++)++)?+[ \t]*+[=:][ \t]*+[\"']?(?=[_+/-]*+[A-Za-z0-9])[A-Za-z0-9_+/-]{8,}",
     "key": r"(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "person": rf"(?=[A-ZА-Я])(?:(?:{_HONORIFIC}[ ])++|(?:{_GIVEN})(?:-{_WORD})?+[ ]){_NAME}(?:[ ]{_NAME})*+",
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "person": rf"(?=\p{{Lu}})(?:(?:(?:{_HONORIFIC}[ ])++|(?:{_GIVEN})(?:-{_WORD})?+[ ]){_NAME}(?:[ ]{_NAME})*+|(?:{_CAPITAL_HONORIFIC}|(?:{_GIVEN.upper()})(?:-{_CAPITALS})?+)(?:[ ]{_CAPITALS}){{1,2}})",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,255}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
 }
 _FIGURES = "|".join(PATTERNS[k] for k in ("ip", "card", "ssn", "phone"))
 _LETTERS = "|".join(PATTERNS[k] for k in ("secret", "key", "iban", "person", "email"))
@@ -53,8 +58,8 @@ ENTITY = rf"(?<![A-Za-z0-9_À-ӿ])(?:(?=[0-9+(])(?:{_FIGURES})|{_LETTERS})"
 # Characters that may stand for each other.
 KINDS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоу", "бвгджзклмнпрст", "АЕИОУ", "БВГДЖЗКЛМНПРСТ")
 MEMBERS = ("0123456789", "aeiouàáâäèéêëìíîïòóôöùúûü", "bcdfghjklmnpqrstvwxyzçñß", "AEIOUÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜ", "BCDFGHJKLMNPQRSTVWXYZÇÑ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ")
-#: After so many draws a surname may also grow, as a short one may have no other form left.
-GROWS_AFTER = 6
+#: After so many draws a surrogate may also grow, by one character a draw: a short entity may have no other form left, and so every entity gets one in the end.
+GROWS_AFTER = 3
 
 
 def kind_of(value: Column) -> Column:
@@ -121,17 +126,17 @@ def _given(name: Column, key: str) -> Column:
 
 def _before_surname(word: Column, seed: Column, key: str) -> Column:
     """A word of a name but the last: titles and particles stay, known given names are moved on, others drawn anew and never the same."""
-    given = _given(word, key)
+    given = F.coalesce(F.when(word == F.upper(word), F.upper(_given(F.initcap(word), key))), _given(word, key))
     drawn = _characters(word, F.sha2(F.concat(seed, F.lower(word)), 512), F.lit(False))
     moved = F.translate(word, "".join(KINDS), "".join(k[1:] + k[:1] for k in KINDS))
-    return F.when(word.rlike(f"^(?:{_HONORIFIC}|{_PARTICLE})$"), word).when(given != word, given).when(drawn != word, drawn).otherwise(moved)
+    return F.when(word.rlike(f"^(?:{_HONORIFIC}|{_CAPITAL_HONORIFIC}|{_PARTICLE})$"), word).when(given != word, given).when(drawn != word, drawn).otherwise(moved)
 
 
 def surrogate(kind: Column, value: Column, seed: Column, grows: Column, key: str) -> Column:
     """The surrogate of an entity as it is written in a text."""
     none = F.lit(False)
     words = F.split(value, " ")
-    more = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(grows, F.lit(1))), lambda i: F.substr(F.lit("aeiou"), (_byte(seed, i + 40) % 5 + 1).cast("int"), F.lit(1))), "")
+    more = lambda members: F.when(grows > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(grows, F.lit(1))), lambda i: F.substr(F.lit(members), (_byte(seed, i + 40) % len(members) + 1).cast("int"), F.lit(1))), "")).otherwise("")
     # what a type keeps of the start and the end
     head = (
         F.when(kind == "secret", F.length(value) - F.length(_secret(value)))
@@ -150,10 +155,11 @@ def surrogate(kind: Column, value: Column, seed: Column, grows: Column, key: str
     valid = luhn(F.regexp_replace(value, "[^0-9]", ""))
     names = F.array_join(F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: _before_surname(w, seed, key)), " ")
     return (
-        F.when(kind == "ip", F.concat_ws(".", *[(_byte(seed, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]))
-        .when((kind == "card") & valid, F.concat(F.substr(out, F.lit(1), F.length(out) - 1), last.cast("string")))
-        .when(kind == "person", F.concat(names, F.when(F.size(words) > 1, " ").otherwise(""), drawn, F.when(grows > 0, more).otherwise("")))
-        .otherwise(out)
+        F.when(kind == "ip", F.concat(F.concat_ws(".", *[(_byte(seed, F.lit(i)) % 254 + 1).cast("string") for i in range(4)]), F.when(grows > 0, ".").otherwise(""), more("123456789")))
+        .when((kind == "card") & valid & (grows == 0), F.concat(F.substr(out, F.lit(1), F.length(out) - 1), last.cast("string")))
+        .when(kind == "person", F.concat(names, F.when(F.size(words) > 1, " ").otherwise(""), drawn, F.when(value == F.upper(value), more("AEIOU")).otherwise(more("aeiou"))))
+        .when(kind == "email", F.concat(more("bcdfghklmnprst"), out))
+        .otherwise(F.concat(out, more("0123456789")))
     )
 
 
@@ -188,21 +194,21 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with surrogates in the text and a column n_entities (one of that name is replaced).
 
     Each text moves at most once, to meet its own entities' seeds; an entity that a third of the texts holds meets its seed in a join that Spark
-    can split.
+    can split. Texts without entities are matched against the pattern once, the others again when their entities give way.
     """
     docs = docs.drop("n_entities")
-    plain = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), row_key(*plain).alias("_row"), found(F.col(text_col)).alias("_found"))
-    one = rows.where(F.size("_found") > 0).select("_row", F.explode(F.array_distinct("_found")).alias("value")).withColumn("kind", kind_of(F.col("value")))
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(*plain).alias("_row"))
+    text = F.col("doc")[text_col]
+    one = rows.select("_row", F.explode(F.array_distinct(found(text))).alias("value")).withColumn("kind", kind_of(F.col("value")))
     one = one.withColumn("entity", same_entity(F.col("kind"), F.col("value")))
     one = written(one.distinct(), "pii-found")
     known = seeds(one.groupBy("kind", "entity").agg(F.min("value").alias("value")), key)
     drawn = one.join(known, ["kind", "entity"]).withColumn("new", surrogate(F.col("kind"), F.col("value"), F.col("seed"), F.col("grows"), key))
     own = drawn.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("_new"))
     joined = rows.join(own, "_row", "left")
-    was = F.col("doc")[text_col]
-    news = F.transform("_found", lambda v: F.coalesce(F.element_at("_new", v), v))
-    text = F.array_join(F.flatten(F.zip_with(F.split(was, ENTITY, -1), F.concat(news, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
-    n = F.when(F.col("_new").isNull(), 0).otherwise(F.size("_found"))
-    own = {c: F.col("doc")[c] for c in docs.columns} | {text_col: F.when(F.col("_new").isNull(), was).otherwise(text)}
-    return joined.select(*[v.alias(c) for c, v in own.items()], n.cast("long").alias("n_entities"))
+    news = F.transform(found(text), lambda v: F.coalesce(F.element_at("_new", v), v))
+    changed = F.array_join(F.flatten(F.zip_with(F.split(text, ENTITY, -1), F.concat(news, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
+    n = F.when(F.col("_new").isNull(), 0).otherwise(F.size(found(text)))
+    columns = {c: F.col("doc")[c] for c in docs.columns} | {text_col: F.when(F.col("_new").isNull(), text).otherwise(changed)}
+    return joined.select(*[v.alias(c) for c, v in columns.items()], n.cast("long").alias("n_entities"))
