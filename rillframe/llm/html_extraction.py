@@ -6,8 +6,10 @@ and blocks that follow each other under one parent, are joined by smoothness edg
 maximum flow separates content from boilerplate. Blocks whose own capacity outweighs their edges are settled before the flow runs, which
 changes no cut's value.
 
-Null html counts as empty; a page without content has an empty text. Broken markup never fails: an unclosed tag reads as text, an unclosed
-script or comment runs to the end.
+The word lists and tags only lean the odds: what stands among content is content, unless its own odds against it outweigh its edges.
+
+Null html counts as empty; a page without content has an empty text; an empty table gives an empty one. Broken markup never fails: an unclosed tag reads as text, an
+unclosed script, style or comment runs to the end, and any other element without an end tag, or closed by "/>", hides nothing.
 """
 
 from __future__ import annotations
@@ -17,12 +19,16 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rillframe.llm.common import frugal
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head)\b[^>]*>"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head)\b((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
     re.DOTALL,
 )
@@ -41,13 +47,17 @@ WORDS_AGAINST = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup paywall sidebar aside widget related recommended recommendations trending popular comment comments commentlist disqus replies respond reviews share sharing social nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer copyright masthead toolbar login search form disclaimer skip".split()
 )
 WORDS_FOR = frozenset("article content main post entry story body text".split())
-WEIGHTS = {"bias": -1.0, "word": 0.12, "most_words": 40, "sentence": 0.6, "links": -5.0, "against": -14.0, "words_against": -10.0, "header": -8.0, "for": 3.0, "words_for": 1.5, "prose": 1.0, "hidden": -30.0}
+WEIGHTS = {"bias": -2.6, "word": 0.12, "most_words": 40, "sentence": 0.6, "links": -5.0, "against": -6.0, "words_against": -5.0, "header": -4.0, "for": 1.2, "words_for": 0.8, "prose": 1.0, "hidden": -30.0}
+#: Smoothness of blocks that follow each other, over the fourth power of their distance in the tree, and of those that follow each other under one grandparent.
+SMOOTH, ALONG = 24.0, 0.1
 PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li td dd figcaption".split())
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
-_SENTENCE = re.compile(r"[.!?。！？](?:\s|$)")
+_SENTENCE = re.compile(r"[.!?](?!\w)|[。！？]")
+#: Letters of scripts that don't space words; two count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
 @dataclass(slots=True)
@@ -103,6 +113,7 @@ def blocks(html: str) -> list[Block]:
     number = linked = link = 0
     text: list[str] = []
     at, size = 0, len(html)
+    endless: set[str] = set()  # elements that have no end tag from here on
 
     def close() -> None:
         nonlocal text, linked
@@ -116,12 +127,20 @@ def blocks(html: str) -> list[Block]:
         m = TOKEN.match(html, at)
         at = m.end()
         if m[1]:
-            end = SILENT[m[1].lower()].search(html, at)
-            if m[1].lower() in ("textarea", "select", "iframe", "object"):
+            kind = m[1].lower()
+            if kind in ("textarea", "select", "iframe", "object"):
                 close()
-            at = end.end() if end else (at if m[1].lower() == "head" else size)
+            if m[2].endswith("/") and kind not in ("script", "style", "title", "textarea", "head") or kind in endless:
+                continue
+            end = SILENT[kind].search(html, at)
+            if end:
+                at = end.end()
+            elif kind in ("script", "style"):
+                at = size
+            else:
+                endless.add(kind)
             continue
-        tag = m[3]
+        tag = m[4]
         if not tag:
             piece = m[0]
             if piece[:2] in ("<!", "<?") and len(piece) > 2:
@@ -131,7 +150,7 @@ def blocks(html: str) -> list[Block]:
                 linked += len(piece)
             continue
         tag = tag.lower()
-        if m[2]:
+        if m[3]:
             if tag == "a":
                 link = 0
             if tag not in BLOCK:
@@ -156,7 +175,7 @@ def blocks(html: str) -> list[Block]:
         while here.tag in closes and here.parent is not None:
             here = here.parent
         number += 1
-        here = _element(tag, m[4], here, number)
+        here = _element(tag, m[5], here, number)
         link = 0
     close()
     del root
@@ -166,7 +185,11 @@ def blocks(html: str) -> list[Block]:
 def log_odds(b: Block) -> float:
     """The classifier's log-odds that a block is content."""
     w = WEIGHTS
-    z = w["bias"] + w["word"] * min(b.text.count(" ") + 1, w["most_words"]) + w["sentence"] * min(2, len(_SENTENCE.findall(b.text[:2000])))
+    words = b.text.count(" ") + 1
+    if words < w["most_words"]:
+        words += len(_UNSPACED.findall(b.text)) // 2
+    sentences = sum(1 for _ in islice(_SENTENCE.finditer(b.text), 2))
+    z = w["bias"] + w["word"] * min(words, w["most_words"]) + w["sentence"] * sentences
     z += w["links"] * min(1.0, b.linked / len(b.text)) + b.parent.inside + b.parent.against
     return z + w["prose"] * (b.parent.tag in PROSE)
 
@@ -189,10 +212,10 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            out.append((i - 1, i, 2.0 / (1 + distance(found[i - 1].parent, b.parent))))
+            out.append((i - 1, i, SMOOTH / max(2, distance(found[i - 1].parent, b.parent)) ** 4))
         up = (b.parent.parent or b.parent).number
         if up in last and last[up] < i - 1:
-            out.append((last[up], i, 0.5))
+            out.append((last[up], i, ALONG))
         last[up] = i
     return out
 
@@ -225,34 +248,43 @@ def cut(odds: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
 
 
 def _reached(z: list[float], near: list[dict[int, float]], left: list[int]) -> set[int]:
-    """Maximum flow by shortest augmenting paths; the nodes that the source still reaches."""
+    """Maximum flow by blocking flows on layers of equal distance from the source; the nodes that the source still reaches."""
     rest = {i: dict(near[i]) for i in left}
     source = {i: z[i] for i in left if z[i] > 0}
     sink = {i: -z[i] for i in left if z[i] < 0}
     while True:
-        came: dict[int, int | None] = {i: None for i, c in source.items() if c > 1e-12}
-        order = deque(came)
-        end = None
+        level = {i: 0 for i, c in source.items() if c > 1e-12}
+        order, ends = deque(level), False
         while order:
             i = order.popleft()
-            if sink.get(i, 0.0) > 1e-12:
-                end = i
-                break
+            ends |= sink.get(i, 0.0) > 1e-12
             for j, c in rest[i].items():
-                if c > 1e-12 and j not in came:
-                    came[j] = i
+                if c > 1e-12 and j not in level:
+                    level[j] = level[i] + 1
                     order.append(j)
-        if end is None:
-            return set(came)
-        path = [end]
-        while (up := came[path[-1]]) is not None:
-            path.append(up)
-        flow = min([source[path[-1]], sink[end], *(rest[b][a] for a, b in zip(path, path[1:], strict=False))])
-        source[path[-1]] -= flow
-        sink[end] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            rest[b][a] -= flow
-            rest[a][b] = rest[a].get(b, 0.0) + flow
+        if not ends:
+            return set(level)
+        waiting = {i: iter(list(rest[i])) for i in level}
+        for start in [i for i, n in level.items() if n == 0]:
+            path = [start]
+            while path and source[start] > 1e-12:
+                i = path[-1]
+                if sink.get(i, 0.0) > 1e-12:
+                    flow = min([source[start], sink[i], *(rest[a][b] for a, b in zip(path, path[1:], strict=False))])
+                    source[start] -= flow
+                    sink[i] -= flow
+                    for a, b in zip(path, path[1:], strict=False):
+                        rest[a][b] -= flow
+                        rest[b][a] = rest[b].get(a, 0.0) + flow
+                    cut_at = next((k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if rest[a][b] <= 1e-12), len(path) - 1)
+                    path = path[: cut_at + 1]
+                    continue
+                for j in waiting[i]:
+                    if rest[i].get(j, 0.0) > 1e-12 and level.get(j) == level[i] + 1:
+                        path.append(j)
+                        break
+                else:
+                    path.pop()
 
 
 def main_text(html: str) -> str:
@@ -263,6 +295,7 @@ def main_text(html: str) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without their html, with main_text (columns of that name are replaced). One page at a time, no shuffle."""
+    frugal(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html_col, "main_text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,4 +304,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, "main_text"])
 
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
-    return pages.select(*kept, html_col).mapInArrow(run, f"{fields}{', ' if kept else ''}main_text string")
+    return pages.select(*[F.col(f"`{c}`") for c in (*kept, html_col)]).mapInArrow(run, f"{fields}{', ' if kept else ''}main_text string")
