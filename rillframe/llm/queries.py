@@ -69,9 +69,13 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+#: Share of the tokens that op9 aims at, and its rounds: fixed ones, so that SQL can follow.
+MIX_SHARE, MIX_ROUNDS = 0.4, 30
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    got = mixing.weigh(written(mixing.counted(docs, mixing.topic_of(F.col("text"))).drop("text"), "counted"))
+    got = mixing.weigh(written(mixing.counted(docs, mixing.topic_of(F.col("text"))).drop("text"), "counted"), share=MIX_SHARE, rounds=MIX_ROUNDS)
     named = [F.coalesce(d, F.lit("")).alias(d) for d in ("source", "lang", "topic")]
     return got.select("doc_id", *named, "n_tokens", F.round("weight", 6).alias("weight"), F.round("chance", 6).alias("chance"), "stays")
 
@@ -85,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.oracle_sql()}
+    return {"op9_mixing": mixing.oracle_sql(MIX_SHARE, MIX_ROUNDS)}
