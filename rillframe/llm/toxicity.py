@@ -3,10 +3,10 @@
 A word is the average of the embeddings of its hashed character n-grams (three to six characters, with its borders), and a linear
 softmax over that average gives its two class scores. Embeddings and softmax are trained jointly in numpy. Only whole documents carry labels, and one
 insult among hundreds of clean words would vanish in an average over all of them, so a document scores as its most toxic word, in
-training too. Misspellings that training never saw share most n-grams with the words it saw.
+training too; with `pool="mean"` it scores as the average of its words. Misspellings that training never saw share most n-grams with the words it saw.
 
-A word is a run of letters and digits, in lower case. Training reads at most about `per_class` documents of each label, chosen by a
-hash of the id. Null texts and texts without words score as the model's base rate does. Repeated rows give repeated results, rows without a
+A word is a run of letters and digits, in lower case. Training reads about `per_class` documents of each label, chosen by a
+hash of id and text, and of these as many as have WORDS_PER_CLASS distinct words together. Null texts and texts without words score as the model's base rate does. Repeated rows give repeated results, rows without a
 label or an id aren't learned from, and with labels of one class or none at all every score is that class's share (0 if none).
 """
 
@@ -18,15 +18,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import code_points, slices
+from rillframe.llm.common import code_points, frugal, slices
 
 BUCKET_BITS = 17
 SIZES = (3, 4, 5, 6)
 #: Training documents of each label, about.
 PER_CLASS = 4000
+#: Distinct words of the texts of a label, summed over its texts, that training takes: what the driver holds doesn't follow the texts' lengths.
+WORDS_PER_CLASS = 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -89,6 +91,7 @@ class Model:
     weight: np.ndarray
     bias: float
     fixed: float | None = None
+    pool: str = "top"
 
     def words(self, g: Grams) -> np.ndarray:
         """Log-odds of each word."""
@@ -102,11 +105,15 @@ class Model:
             return np.full(n, self.fixed)
         g = grams(raw, offsets)
         best = np.full(n, self.bias)
-        np.maximum.at(best, g.text, self.words(g))
+        if self.pool == "mean":
+            count = np.bincount(g.text, minlength=n)
+            best = np.where(count, np.bincount(g.text, weights=self.words(g), minlength=n) / np.maximum(count, 1), best)
+        else:
+            np.maximum.at(best, g.text, self.words(g))
         return 1 / (1 + np.exp(-best))
 
 
-def train(texts: list[bytes], labels: np.ndarray, dims: int = 8, rounds: int = 120, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
+def train(texts: list[bytes], labels: np.ndarray, dims: int = 8, rounds: int = 120, rate: float = 0.05, decay: float = 1e-5, seed: int = 7, pool: str = "top") -> Model:
     """Full-batch Adam on the cross-entropy of each text's most toxic word.
 
     At first all words of a text share its label; the share of a word then sharpens with its own score, until in the last third of
@@ -138,7 +145,9 @@ def train(texts: list[bytes], labels: np.ndarray, dims: int = 8, rounds: int = 1
         u = e @ d
         logit = (np.bincount(owner, weights=u[bucket], minlength=len(number)).astype(np.float32) / size)[word]
         top = np.maximum.reduceat(logit, text_at)
-        if 3 * step <= 2 * rounds:
+        if pool == "mean":
+            a = np.ones(len(logit), dtype=np.float32)
+        elif 3 * step <= 2 * rounds:
             a = np.exp(np.minimum(12.0 * step / rounds, 8.0) * (logit - top[which]))
         else:
             a = (logit == top[which]).astype(np.float32)
@@ -153,20 +162,26 @@ def train(texts: list[bytes], labels: np.ndarray, dims: int = 8, rounds: int = 1
             m[k] += 0.1 * (grad - m[k])
             v[k] += 0.001 * (grad * grad - v[k])
             params[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return Model((e @ (w[1] - w[0])).astype(np.float32), float(b[1] - b[0]))
+    return Model((e @ (w[1] - w[0])).astype(np.float32), float(b[1] - b[0]), pool=pool)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, pool: str = "top") -> Model:
     """Learns from the labelled rows where `learn`, a condition on the id, holds."""
-    rows = labels.where(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).alias("label")).distinct()
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    share = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.when(F.col("label") == 1, per_class / max(1, sizes.get(1, 0))).otherwise(per_class / max(1, sizes.get(0, 0)))
-    # at most 2 * per_class + a few rows, whatever the size of the tables
-    chosen = rows.where(share < rate).limit(2 * per_class + 1000)
-    got = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), id_col).select(id_col, "label", _distinct_words("text").alias("words")).limit(2 * (2 * per_class + 1000)).collect()
-    got.sort(key=lambda r: (r[0], r["words"], r["label"]))
-    return train([r["words"].encode() for r in got], np.array([r["label"] for r in got]))
+    known = labels.where(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sizes = {r["label"]: r["count"] for r in rows.select("id").join(known, "id").groupBy("label").count().collect()}
+    if not sizes:
+        return train([], np.zeros(0, int))
+    # by id and text, and each such pair once: neither one id on many rows nor a row that is repeated often makes the sample large
+    share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    rates = {k: per_class / n for k, n in sizes.items()}
+    rate = F.when(F.col("label") == 1, rates.get(1, 0.0)).otherwise(rates.get(0, 0.0))
+    chosen = rows.withColumn("share", share).where(F.col("share") < max(rates.values())).join(known, "id").where(F.col("share") < rate).distinct()
+    words = chosen.select("id", "label", "share", _distinct_words("text").alias("words"))
+    so_far = F.sum(F.size(F.split("words", " "))).over(Window.partitionBy("label").orderBy("share", "words").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = words.withColumn("so_far", so_far).where(F.col("so_far") <= WORDS_PER_CLASS).select("id", "label", "words").collect()
+    got.sort(key=lambda r: (r["id"], r["words"], r["label"]))
+    return train([r["words"].encode() for r in got], np.array([r["label"] for r in got]), pool=pool)
 
 
 def _distinct_words(column: str) -> Column:
@@ -176,7 +191,7 @@ def _distinct_words(column: str) -> Column:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with a column toxicity (0 to 1; one of that name is replaced)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = frugal(docs.sparkSession).sparkContext.broadcast(model)
     kept = docs.drop("toxicity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
