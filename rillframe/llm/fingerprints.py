@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillframe.llm.common import mixed
+from rillframe.llm.common import frugal, mixed
 
 KEEP = 64
 FROM_LEVEL = 2
 SHORT = 96
 #: Shorter texts also keep their single code points.
 TINY = 24
-#: Ranges of ids that the table is cut into at most, however large it is.
+#: Ranges of ids that the table is cut into at most, as the driver holds one id of each; a range streams through its task, whatever its size.
 MOST_BUCKETS = 20_000
 #: Code points that are parsed at a time.
 AT_ONCE = 1 << 20
@@ -166,6 +166,7 @@ def _points(text: str) -> np.ndarray:
 
 def fingerprint(docs: DataFrame, text_col: str = "text", keep: int = KEEP) -> DataFrame:
     """docs with a column fingerprint (one of that name is replaced). No shuffle."""
+    frugal(docs.sparkSession)
     kept = docs.drop("fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +233,8 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     One row per row of docs. Rows with equal ids follow each other by text (null first, then by hash); null ids come first.
     """
     rows = next_in_order(docs, id_col, text_col)
-    parts = max(1, docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.repartition(parts, "bucket").withColumn("hash", F.sha2("text", 256)).sortWithinPartitions("bucket", "extra", F.col("id").asc_nulls_first(), F.col("hash").asc_nulls_first()).drop("hash")
+    frugal(docs.sparkSession)
+    placed = rows.repartition("bucket").withColumn("hash", F.sha2("text", 256)).sortWithinPartitions("bucket", "extra", F.col("id").asc_nulls_first(), F.col("hash").asc_nulls_first()).drop("hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[int, int | None, str, bool]] = []

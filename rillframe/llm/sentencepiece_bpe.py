@@ -6,9 +6,9 @@ compatible pair with it is the entry. A pair is compatible if merging the two st
 then read backwards from the end of the table.
 
 No vocabulary piece holds the word mark after another character, so a text falls apart, without loss, at word marks; equal chunks
-are encoded once per worker. Runs of marks have the worst score of all pieces and so merge last, from the left.
+are encoded once per task, as long as it remembers them. Runs of marks have the worst score of all pieces and so merge last, from the left.
 
-Null text counts as empty. Extra columns are dropped by `encode`, which returns one row per input row.
+Null text counts as empty, an empty table gives an empty one. Extra columns are dropped by `encode`, which returns one row per input row.
 """
 
 from __future__ import annotations
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     blob = frugal(docs.sparkSession).sparkContext.broadcast(model_bytes(path))
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel(blob.value)  # of one task: a worker that goes on to other work keeps none of it
