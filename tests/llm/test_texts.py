@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,24 @@ def test_decoding_bad_bytes():
     for _ in range(300):
         ids = [rng.choice([rng.randrange(3, 259), rng.randrange(259, 32000), 2, 1]) for _ in range(rng.randint(0, 8))]
         assert own.decode(ids) == lib.decode(ids), ids
+
+
+def test_the_cut_overrules_some_blocks(small):
+    overruled = blocks = 0
+    for row in pq.read_table(f"{Path(small).parent}/sf0.1/pages.parquet", columns=["html"]).to_pylist():
+        found = html_extraction.blocks(row["html"] or "")
+        odds = [html_extraction.log_odds(b) for b in found]
+        overruled += sum((z > 0) != s for z, s in zip(odds, html_extraction.cut(odds, html_extraction.edges(found))))
+        blocks += len(found)
+    print(f"{overruled} of {blocks} blocks overruled")
+    assert overruled > 0
+
+
+def test_broken_markup_hides_nothing():
+    tail = "<p>Some long text of words here. It goes on.</p></article>"
+    plain = "Some long text of words here. It goes on."
+    for head in ("<svg a='1'/>", '<object data="a>b"/>', "<iframe src=x />", "<template/>", "<title>", "<textarea>", "<svg>", "<!-- x -->", "<script>var a='<p>';</script>", "<style>p{}</style>"):
+        assert html_extraction.main_text(f"<article>{head}{tail}") == plain, head
+    assert html_extraction.main_text(f"<article><p>First words of an article. Yes.</p><script>no end {tail}") == "First words of an article. Yes."
+    long = "这是一个很长的段落没有空格。它继续讲下去。" * 200
+    assert html_extraction.main_text(f"<div><nav><a href=x>一</a></nav><div>{long}</div></div>") == long
