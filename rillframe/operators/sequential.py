@@ -273,6 +273,53 @@ class Sentinel:
         yield seq, when, "live", own.shift, stream
 
 
+class AudioDrift:
+    """Output times of resampled sound, which follow from the number of samples, and what keeps them near the input's: silence put in or samples left out.
+
+    Drift is the input's time less the output's. It is acted on once it has kept its sign, and its average over the last frames too, beyond the limit for `patience`
+    frames; at most one output frame of samples a time, and then on until it is small. Time that steps back, or ahead by more than a second, begins anew.
+    Items give their number of samples as `arrival`.
+    """
+
+    fields = "seq long, out_us long, drift_us long, added long"
+
+    def __init__(self, rate: int, frame: int = 1024, most_us: int = 1000, patience: int = 40, window: int = 50, gap_us: int = 1_000_000):
+        self.rate, self.frame, self.most, self.patience, self.gap = rate, frame, most_us, patience, gap_us
+        self.recent: deque = deque([0] * window, maxlen=window)
+        self.base: int | None = None
+        self.samples = self.run = 0
+        self.last = 0
+        self.behind = self.busy = False
+
+    def push(self, seq: int, ts: int | None, arrival: int | None = None, stream: str = "") -> list[Row]:
+        if ts is None:
+            return []
+        if self.base is None or not 0 <= ts - self.last <= self.gap:
+            self.base, self.samples, self.run, self.busy = ts, 0, 0, False
+            self.recent.extend([0] * len(self.recent))
+        self.last = ts
+        drift = ts - self.base - self.samples * 1_000_000 // self.rate
+        self.recent.append(drift)
+        mean = sum(self.recent) / len(self.recent)
+        act = drift * mean > 0 and abs(mean) > self.most < abs(drift) and (drift < 0) == self.behind
+        act = abs(drift) >= self.most and act or self.busy and 10 * abs(drift) > 7 * self.most
+        self.behind = drift < 0
+        if not act:
+            self.run = 0
+        elif not self.busy and self.run < self.patience:
+            self.run, act = self.run + 1, False
+        added = 0
+        if act:
+            due = abs(drift) * self.rate // 1_000_000
+            self.busy = self.busy or due > self.frame
+            added = min(due, self.frame) * (1 if drift > 0 else -1)
+        else:
+            self.busy = False
+        out = self.base + (self.samples + max(added, 0)) * 1_000_000 // self.rate
+        self.samples += added + (arrival or 0)
+        return [(seq, out, drift, added)]
+
+
 class SyncPairs:
     """Distance of audio from video: the latest trigger of either is kept until both are there and close enough, then both are forgotten."""
 

@@ -309,6 +309,14 @@ def channel_pad(spark, d):
     return padded.select("seq", "channel", F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
+@query()
+def resample_drift(spark, d):
+    """Frames of 1,024 samples at 48 kHz whose clock is a thousandth slow, then fast."""
+    pts = F.expr("rank * 1024 * 1000000 div 48000 + abs(rank % 800 - 400) * 21")
+    frames = V.packets(spark, d).where("media = 'A'").withColumn("rank", F.row_number().over(T.by_stream())).select("stream_id", "seq", pts.alias("pts_us"), F.lit(1024).alias("n_samples"))
+    return S.replay(frames, lambda: S.AudioDrift(48000), arrival="n_samples")
+
+
 @query(f"""WITH {AUD}, k AS (SELECT *, sum(n_samples) OVER (PARTITION BY stream_id ORDER BY seq) AS n FROM aud),
   m AS (SELECT *, sum(n_samples) OVER (PARTITION BY stream_id ORDER BY seq) AS m FROM k WHERE n > 128),
   r AS (SELECT stream_id, round((sum(n_samples) - max_by(n_samples, seq)) * 1e6 / (max(pts_us) - min(pts_us)))::BIGINT AS raw FROM m WHERE m <= 1280 GROUP BY stream_id)

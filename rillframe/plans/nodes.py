@@ -213,8 +213,16 @@ def parse_scte35(src: Frames, params: Params) -> Frames:
 
 @register_node("resample_audio", "resample_audio_forward_channels")
 def resample_audio(src: Frames, params: Params) -> Frames:
-    """Frames of another size (1024 unless given) for frames of one channel each. Samples keep their rate."""
-    return [frames.reframe(src[0], int(params.get("frame_size", 1024)))]
+    """Frames of another size (1024 unless given) for frames of one channel each. Samples keep their rate.
+
+    Frames that come without samples but with their number, n_samples, get output times instead, held near the input's (`max_drift`, seconds) by `added` samples.
+    """
+    size = int(params.get("frame_size", 1024))
+    if "samples" in src[0].columns:
+        return [frames.reframe(src[0], size)]
+    rate, most = int(params.get("dst_sample_rate", 48000)), _us(params.get("max_drift", 0.001))
+    got = sequential.replay(src[0], lambda: sequential.AudioDrift(rate, size, most), arrival="n_samples").withColumnRenamed("out_us", "pts_us")
+    return [src[0].drop("pts_us").join(got, ["stream_id", "seq"])]
 
 
 @register_node("raw_output")

@@ -142,6 +142,21 @@ def test_sync_buffer_fills_then_follows_the_offset():
     assert m.end() == [(4, "flush", None, "")] and m.push(5, None, 0) == []
 
 
+def test_drift_is_made_up_for():
+    m = S.AudioDrift(1000, frame=10, most_us=1000, patience=40, window=50, gap_us=10**9)
+    # frames of 10 samples at 1 kHz that come 25 ms late from the first one on
+    got = [m.push(i, i * 10_000 + (25_000 if i else 0), 10)[0] for i in range(60)]
+    first = next(i for i, r in enumerate(got) if r[3])
+    # the average passes the limit with the third late frame; forty more are waited for
+    assert first == 3 + 40
+    assert [r[3] for r in got[first : first + 4]] == [10, 10, 5, 0] and all(r[3] == 0 for r in got[first + 3 :])
+    assert got[first + 3][2] == 0 and got[first + 3][1] == (first + 3) * 10_000 + 25_000
+    early = S.AudioDrift(1000, frame=10, most_us=1000, window=50, gap_us=10**9)
+    out = [early.push(i, i * 10_000 - (7_000 if i > 1 else 0), 10)[0][3] for i in range(70)]
+    assert sum(out) == -7 and [x for x in out if x] == [-7]
+    assert S.AudioDrift(1000).push(0, None) == [] and early.push(70, 0, 10)[0][2] == 0
+
+
 def test_triggers_pair_once():
     m = S.SyncPairs("v", 500)
     got = [m.push(i, t, 0, k) for i, (k, t) in enumerate([("v", 0), ("v", 100), ("a", 150), ("a", 160), ("v", 900), ("a", 1000), ("a", 1001)])]
