@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -102,10 +101,10 @@ def in_filter(spark: SparkSession, bits: np.ndarray, column: str) -> Column:
     """Whether a filter knows a column's keys, or seems to. Only the keys go to Python."""
     sent = spark.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def known(keys: pd.Series) -> pd.Series:
-        key = np.mod(keys.to_numpy(), FILTER_BITS)
-        return pd.Series((sent.value[key >> 3] >> (key & 7).astype(np.uint8) & 1).astype(bool))
+    @F.arrow_udf("boolean")
+    def known(keys: pa.Array) -> pa.Array:
+        key = np.mod(pc.fill_null(keys, 0).to_numpy(zero_copy_only=False), FILTER_BITS)
+        return pa.array((sent.value[key >> 3] >> (key & 7).astype(np.uint8) & 1).astype(bool))
 
     return known(F.col(column))
 

@@ -18,7 +18,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,9 +204,9 @@ def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marks = ids.approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if buckets > 1 else []
     sent = spark.sparkContext.broadcast(np.array(sorted({int(m) for m in marks}), dtype=np.int64))
 
-    @F.pandas_udf("int")
-    def bucket_of(known: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(sent.value, known.to_numpy(), side="right").astype(np.int32))
+    @F.arrow_udf("int")
+    def bucket_of(known: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(sent.value, known.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
 
     bucket = bucket_of(F.coalesce("id", F.lit(-(1 << 63)))).alias("bucket")
     rows = rows.select(bucket, "id", "text", F.lit(False).alias("extra"))
