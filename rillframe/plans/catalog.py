@@ -313,7 +313,7 @@ def channel_pad(spark, d):
 def resample_drift(spark, d):
     """Frames of 1,024 samples at 48 kHz whose clock is a thousandth slow, then fast."""
     pts = F.expr("rank * 1024 * 1000000 div 48000 + abs(rank % 800 - 400) * 21")
-    frames = V.packets(spark, d).where("media = 'A'").withColumn("rank", F.row_number().over(T.by_stream())).select("stream_id", "seq", pts.alias("pts_us"), F.lit(1024).alias("n_samples"))
+    frames = V.packets(spark, d).where("media = 'A'").withColumn("rank", F.row_number().over(T.by_stream()).cast("long")).select("stream_id", "seq", pts.alias("pts_us"), F.lit(1024).alias("n_samples"))
     return S.replay(frames, lambda: S.AudioDrift(48000), arrival="n_samples")
 
 
