@@ -33,7 +33,7 @@ BATCHES = 3
 RUNS = 2
 #: Entries that are worth a bucket of their own, beyond those that the session's shuffles have.
 BUCKET_ROWS = 5_000_000
-RUN = "key long, ctx long, doc long"
+RUN = "key long, ctx long, doc long, last long"
 ENTRY = "key long, ctx long, doc long, row long, low int, high int"
 
 
@@ -88,10 +88,10 @@ def entries(docs: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Immutable sorted runs of distinct entries with the smallest document of each. Batches with smaller ids than earlier ones don't change what those lost.
+    """Immutable sorted runs of distinct entries, with the smallest document of each and the largest of its batch. Batches with smaller ids than earlier ones don't change what those lost.
 
     Each run is a table in `buckets` buckets by (key, ctx), sorted by them, in a folder of its own; a manifest names the runs, so that a later session opens
-    the index by its folder and goes on. A batch is dealt and sorted as the runs are and merged with them: the runs themselves don't move.
+    the index by its folder and goes on. A batch's distinct entries are dealt and sorted as the runs are and merged with them: the runs themselves don't move.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, most_runs: int = RUNS):
@@ -128,33 +128,34 @@ class Index:
         self.spark.sql(f"CREATE TABLE {at} ({RUN}) USING parquet CLUSTERED BY (key, ctx) SORTED BY (key, ctx) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
         return self.spark.table(at)
 
-    def _dealt(self, entries: DataFrame) -> DataFrame:
-        return entries.repartition(self.buckets, "key", "ctx")
-
     def _run(self, entries: DataFrame) -> None:
-        """Writes a run of entries that are dealt as runs are."""
+        """Writes a run of distinct entries."""
         name, at = f"run-{uuid.uuid4().hex}", f"rillframe_{uuid.uuid4().hex}"
         self.tables.append(at)
-        writer = entries.select("key", "ctx", "doc").write.format("parquet").option("parquet.block.size", ROW_GROUP)
+        writer = entries.select("key", "ctx", "doc", "last").write.format("parquet").option("parquet.block.size", ROW_GROUP)
         writer.bucketBy(self.buckets, "key", "ctx").sortBy("key", "ctx").option("path", f"{self.folder}/{name}").saveAsTable(at)
         self.names.append(name)
         self.runs.append(self.spark.table(at))
 
-    def _first(self, entries: DataFrame) -> DataFrame:
-        return entries.groupBy("key", "ctx").agg(F.min("doc").alias("doc"))
+    def _merged(self, batch: DataFrame) -> DataFrame:
+        """(key, ctx, doc, last) of a batch's distinct entries: the smallest document that has each, of the index or the batch, and the largest of the batch.
+
+        Entries are counted together before they move, so that one that many documents share is one row for each task.
+        """
+        out = batch.where("doc is not null").groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
+        if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            out = out.repartition(self.buckets, "key", "ctx")
+        for run in self.runs:
+            out = out.join(run.select("key", "ctx", F.col("doc").alias("known")), ["key", "ctx"], "left").withColumn("doc", F.least("doc", "known")).drop("known")
+        return out
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Adds a batch of entries as a run; returns those (row, doc, low, high) that an entry of a smaller document settles."""
-        dealt = self._dealt(batch.where("doc is not null"))
-        first = self._first(dealt)
-        for i, run in enumerate(self.runs):  # an entry stays only if it is new to a run, or its document smaller
-            first = first.join(run.select("key", "ctx", F.col("doc").alias(f"known{i}")), ["key", "ctx"], "left").where(f"known{i} is null or known{i} > doc").drop(f"known{i}")
-        self._run(first)
-        owner = dealt
-        for i, run in enumerate(self.runs):
-            owner = owner.join(run.select("key", "ctx", F.col("doc").alias(f"owner{i}")), ["key", "ctx"], "left")
-        settled = F.coalesce(F.least(*[F.coalesce(f"owner{i}", "doc") for i in range(len(self.runs))], F.col("doc")), F.col("doc")) < F.col("doc")
-        hits = written(owner.where(settled).select("row", "doc", "low", "high").distinct(), "hits")
+        self._run(self._merged(batch))
+        # a plain table: Spark may split a join with it where one entry is in very many rows
+        settled = written(self.runs[-1].where("doc < last").select("key", "ctx", F.col("doc").alias("owner")), "settled")
+        hits = written(batch.join(settled, ["key", "ctx"]).where("owner < doc").select("row", "doc", "low", "high").distinct(), "hits")
+        dropped(self.spark, settled)
         if len(self.runs) > self.most_runs:
             self.compact()
         self._write_manifest()
@@ -162,9 +163,10 @@ class Index:
 
     def history(self) -> DataFrame:
         """All runs' entries, each once with its smallest document."""
-        merged = self.runs[0].select("key", "ctx", "doc")
-        for i, run in enumerate(self.runs[1:]):
-            merged = merged.join(run.select("key", "ctx", F.col("doc").alias("other")), ["key", "ctx"], "full").select("key", "ctx", F.least("doc", "other").alias("doc"))
+        merged = self.runs[0].select("key", "ctx", "doc", "last")
+        for run in self.runs[1:]:
+            other = run.select("key", "ctx", F.col("doc").alias("other"), F.col("last").alias("end"))
+            merged = merged.join(other, ["key", "ctx"], "full").select("key", "ctx", F.least("doc", "other").alias("doc"), F.greatest("last", "end").alias("last"))
         return merged
 
     def compact(self) -> None:
