@@ -70,8 +70,12 @@ def test_index_is_opened_again(spark, odd):
     whole = substring_dedup.Index(spark, most_runs=5)
     assert sorted(hits) == sorted(tuple(r) for b in range(3) for r in whole.ingest(found.where(F.col("doc") % 3 == b)).collect())
     # the history's side of the merge is read in its buckets
-    plan = two._dealt(found).join(two.runs[0].select("key", "ctx", F.col("doc").alias("d")), ["key", "ctx"])._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 or "Broadcast" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = two._merged(found)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Bucketed: true") == len(two.runs) == 3 and plan.count("Exchange hashpartitioning") == 1
     two.delete()
     whole.delete()
 
